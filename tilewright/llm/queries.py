@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
-from tilewright.llm import packing, repeats, simhash
+from tilewright.llm import maintext, merkle, mixing, packing, quality, repeats, simhash, urlfilter
+from tilewright.storage import ship
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +18,26 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.digest(_table(spark, sf_dir, "pages"))
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.digest(_table(spark, sf_dir, "documents"))
+
+
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maintext.extract(_table(spark, sf_dir, "pages"))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.digest(_table(spark, sf_dir, "documents"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_table(spark, sf_dir, "documents"), "word_bpe_49k.json", length=2048, end_id=0)
 
@@ -23,9 +46,16 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.digest(_table(spark, sf_dir, "documents"), length=200)
 
 
-QUERIES = {
-    "op1_simhash": op1_simhash,
-    "op9_best_fit_packing": op9_best_fit_packing,
-    "op10_suffix_dedup": op10_suffix_dedup,
-}
-ORACLES: dict[str, str] = {}
+def _shipped(query):
+    """The query, once this package can be imported wherever its Python workers run."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+QUERIES = {q.__name__: _shipped(q) for q in (op1_simhash, op2_url_filter, op3_quality_rules, op4_fingerprints, op5_html_extraction, op6_mixing, op9_best_fit_packing, op10_suffix_dedup)}
+ORACLES: dict[str, str] = {"op6_mixing": mixing.ORACLE}
