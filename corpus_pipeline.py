@@ -1,10 +1,66 @@
-"""Corpus pipeline: stages over documents, each written as Parquet and read again by the next."""
+"""Corpus pipeline over documents: rules, near copies, repeated strings, source mix, sequences.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept. All but the last
+return the columns of ``documents``. Between stages the rows are written as Parquet and read again, so a lost
+executor costs no more than the stage it was in.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tilewright.llm import mixing, packing, quality, repeats, simhash
+from tilewright.storage import discard, materialize, ship
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base rule or pass a risk-controlled cutoff go."""
+    ship(spark)
+    return quality.only_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked fingerprints the document with the smallest id stays."""
+    ship(spark)
+    return simhash.keep_one(docs)
+
+
+def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Strings of 200 bytes or more that occur twice go from the texts; every row stays."""
+    ship(spark)
+    return repeats.without_repeats(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    ship(spark)
+    return mixing.repeated(docs)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces and their places in sequences of 2048."""
+    ship(spark)
+    return packing.packed(docs, "word_bpe_49k.json", length=2048, end_id=0)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_dedup", near_dedup),
+    ("suffix_dedup", suffix_dedup),
+    ("source_mix", source_mix),
+    ("best_fit_packing", best_fit_packing),
+]
+
+#: SQL cannot express the stages; tests hold them against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+        discard(before)
+        before = docs
+    return STAGES[-1][1](spark, docs, sf_dir)

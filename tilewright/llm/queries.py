@@ -6,7 +6,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tilewright.llm import maintext, merkle, mixing, packing, quality, repeats, simhash, urlfilter
+from tilewright.llm import classifier, language, maintext, merkle, mixing, packing, quality, repeats, simhash, urlfilter
 from tilewright.storage import ship
 
 
@@ -38,6 +38,14 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(_table(spark, sf_dir, "documents"))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.digest(_table(spark, sf_dir, "documents"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "pages"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_table(spark, sf_dir, "documents"), "word_bpe_49k.json", length=2048, end_id=0)
 
@@ -57,5 +65,5 @@ def _shipped(query):
     return run
 
 
-QUERIES = {q.__name__: _shipped(q) for q in (op1_simhash, op2_url_filter, op3_quality_rules, op4_fingerprints, op5_html_extraction, op6_mixing, op9_best_fit_packing, op10_suffix_dedup)}
+QUERIES = {q.__name__: _shipped(q) for q in (op1_simhash, op2_url_filter, op3_quality_rules, op4_fingerprints, op5_html_extraction, op6_mixing, op7_quality_classifier, op8_language_id, op9_best_fit_packing, op10_suffix_dedup)}
 ORACLES: dict[str, str] = {"op6_mixing": mixing.ORACLE}
