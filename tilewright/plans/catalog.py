@@ -417,11 +417,11 @@ def validity_scores(spark, sf_dir):
     return metrics.validity_scores(_truth(spark, sf_dir)).select(*[F.round(c, 6).alias(c) for c in ("ari", "homogeneity", "completeness", "v_measure", "fmi")])
 
 
-@query(_with(CUSTOMER, "SELECT round((mi - x) / ((ht + hc) / 2 - x), 6) AS ami FROM i, emi", more="c_nationkey AS truth", extra=_TRUTH + """,
+@query(_with(CUSTOMER, "SELECT round((mi - x) / ((ht + hc) / 2 - x), 6) + 0.0::DOUBLE AS ami FROM i, emi", more="c_nationkey AS truth", extra=_TRUTH + """,
 emi AS (SELECT sum(k / i.n * ln(i.n * k / (ts.m * cs.m)) * exp(lgamma(ts.m + 1) + lgamma(cs.m + 1) + lgamma(i.n - ts.m + 1) + lgamma(i.n - cs.m + 1) - lgamma(i.n + 1) - lgamma(k + 1.0) - lgamma(ts.m - k + 1) - lgamma(cs.m - k + 1) - lgamma(i.n - ts.m - cs.m + k + 1))) AS x
   FROM ts, cs, i, unnest(generate_series(greatest(1, (ts.m + cs.m - i.n)::BIGINT), least(ts.m, cs.m)::BIGINT)) AS g(k))"""))
 def validity_ami(spark, sf_dir):
-    return metrics.adjusted_mutual_information(_truth(spark, sf_dir)).select(F.round("ami", 6).alias("ami"))
+    return metrics.adjusted_mutual_information(_truth(spark, sf_dir)).select((F.round("ami", 6) + F.lit(0.0)).alias("ami"))
 
 
 @query("""SELECT point_id, rank, neighbor_id, round(sqrt(d2), 6) AS distance FROM (
