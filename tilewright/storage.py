@@ -7,7 +7,7 @@ survives the loss of any executor.
 
 from __future__ import annotations
 
-import os
+import io
 import tempfile
 import uuid
 import zipfile
@@ -51,9 +51,14 @@ def ship(spark: SparkSession) -> None:
     if getattr(context, "_tilewright_shipped", False):
         return
     root = Path(__file__).resolve().parent
-    path = os.path.join(tempfile.mkdtemp(prefix="tilewright-"), f"{root.name}.zip")
-    with zipfile.ZipFile(path, "w") as out:
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w") as out:
         for file in sorted(root.rglob("*.py")):
             out.write(file, file.relative_to(root.parent))
+    path = f"{shared_dir(spark)}/{root.name}-{uuid.uuid4().hex}.zip"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).create(target)
+    stream.write(held.getvalue())
+    stream.close()
     context.addPyFile(path)
     context._tilewright_shipped = True
