@@ -77,7 +77,7 @@ def by_text(table: DataFrame, models: np.ndarray, languages: list[str], field: B
                 text, declared = part.column("text"), part.column("declared")
                 if field is not None:
                     pages = text.to_pylist()
-                    found = [_DECLARED.search(p or "", 0, 4000) for p in pages]
+                    found = [_DECLARED.search(p or "") for p in pages]
                     declared = pa.array([m[1].lower() if m else None for m in found], pa.string())
                     text = pa.array([main_text(p, field) for p in pages], pa.string())
                 data, offsets = flat_bytes(text)

@@ -13,6 +13,7 @@ import html
 import random
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,7 @@ TRAINING_PAGES, EPOCHS = 400, 6
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>", re.S)
 _ATTR = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _TOKEN = re.compile(r"[a-z]+")
+_SENTENCE = re.compile(r"[.!?](?: |$)")
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is no text of the page.
@@ -146,8 +148,8 @@ def _text_features(text: str, linked: int, k: int, n: int) -> list[str]:
         f"words:{min(words, 128).bit_length()}",
         f"links:{0 if share == 0 else 1 if share < 0.3 else 2 if share < 0.8 else 3}",
         f"stop:{text[-1] in '.!?…:\"”»'}",
-        f"sentences:{min(3, len(re.findall(r'[.!?](?: |$)', text[:2000])))}",
-        f"mark:{'©' in text[:200] or '|' in text[:200] or '»' in text[:200]}",
+        f"sentences:{sum(1 for _ in islice(_SENTENCE.finditer(text), 3))}",
+        f"mark:{'©' in text or '|' in text or '»' in text}",
         f"upper:{text[:1].isupper()}",
         f"edge:{'first' if k == 0 else 'last' if k == n - 1 else 'mid'}",
     ]
