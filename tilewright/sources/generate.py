@@ -14,8 +14,10 @@ LEAST_GAP, SPREAD = 0.0050, 0.0010
 
 def _around(centres: DataFrame, spread: float, seed: int) -> DataFrame:
     points = centres.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(POINTS_PER_GROUP))))
-    jitter = lambda s: (F.rand(s) * 2 - 1) * F.lit(spread)
-    return points.select((F.col("x") + jitter(seed + 1)).alias("x"), (F.col("y") + jitter(seed + 2)).alias("y"), "group").orderBy(F.rand(seed + 3))
+    # a point's own reach is uniform below a uniform bound, so groups are dense in the middle
+    points = points.withColumn("reach", F.rand(seed + 1) * F.rand(seed + 2) * F.lit(spread))
+    x, y = (F.col(c) + (F.rand(seed + k) * 2 - 1) * F.col("reach") for c, k in (("x", 3), ("y", 4)))
+    return points.select(x.alias("x"), y.alias("y"), "group").orderBy(F.rand(seed + 5))
 
 
 def grouped(spark: SparkSession, groups: int, seed: int = 0, spread: float = SPREAD) -> DataFrame:
@@ -32,7 +34,7 @@ def grouped(spark: SparkSession, groups: int, seed: int = 0, spread: float = SPR
 
     centres = []
     while len(centres) < groups:
-        x, y = rng.uniform(-175, 175), rng.uniform(-85, 85)
+        x, y = rng.uniform(-180, 180), rng.uniform(-90, 90)
         if clear("x", x) and clear("y", y):
             for axis, v in (("x", x), ("y", y)):
                 cells.setdefault((axis, int(v // LEAST_GAP)), []).append(v)
