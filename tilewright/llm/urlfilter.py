@@ -68,7 +68,8 @@ def grams(codes: Column) -> Column:
 
 def exploded(urls: DataFrame) -> DataFrame:
     """A row for each character of ``url``, with its gram."""
-    coded = urls.withColumn("codes", symbols(F.col("url"))).withColumn("grams", grams(F.col("codes"))).drop("codes")
+    # the generator keeps the symbols from being worked out anew for each gram
+    coded = urls.withColumn("codes", F.explode(F.array(symbols(F.col("url"))))).withColumn("grams", grams(F.col("codes"))).drop("codes")
     return coded.withColumn("gram", F.explode("grams")).drop("grams").withColumn("gram", F.col("gram").cast("long"))
 
 
