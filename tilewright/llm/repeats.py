@@ -14,8 +14,9 @@ document or another. Everything is exact and judged on the input.
    and ends, where alone the longest match with the lexicographic neighbour has to be measured. Streaming
    through the text, each other position's match is one shorter than the one before it, which gives the
    matching statistics of every position; those of ``length`` or more mark.
-4. *Hot anchors.* An anchor with very many distinct windows is keyed anew by longer strings around it,
-   halving the places in which a match can start, until its groups are small, or all alike.
+4. *Hot anchors.* The windows of an anchor with very many are compared with one of them, the pivot, and
+   what agrees is marked. The rest of a window can only match those that leave the pivot at the same place
+   by the same byte, so these are the smaller groups that go on.
 """
 
 from __future__ import annotations
@@ -258,43 +259,70 @@ class Repeats:
         table = materialize(windows, "contexts")
         parts = []
         while True:
-            sizes = table.groupBy("key").agg(F.count("*").alias("n"), (F.min(self._extent()) == F.max(self._extent())).alias("alike"))
-            hot = materialize(sizes.where(F.col("n") > GROUP_WINDOWS), "hot")
+            hot = table.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > GROUP_WINDOWS).select("key")
+            hot = materialize(hot, "hot")
             if hot.isEmpty():
                 parts.append(self._match(table))
                 break
             parts.append(self._match(table.join(hot, "key", "left_anti")))
-            large = table.join(hot, "key")
-            parts.append(large.where("alike").select("did", "tid", *((F.col("start") + x).alias(c) for x, c in zip(self._ends(), "ab"))))
-            table = materialize(self._narrower(large.where("not alike").drop("n", "alike")), "contexts")
+            large = table.join(hot, "key", "left_semi")
+            one = F.min(F.struct(F.xxhash64("did", "tid", "start").alias("by"), F.struct("did", "tid", "start", "at", "window").alias("pivot")))
+            pivots = materialize(large.groupBy("key").agg(one.alias("one")).select("key", "one.pivot"), "pivots")
+            split = materialize(self._against(table.join(pivots, "key")), "split")
+            parts.append(split.where("window is null").select("did", "tid", F.col("lo").alias("a"), F.col("hi").alias("b")))
+            table = split.where("window is not null")
         out = parts[0]
         for x in parts[1:]:
             out = out.unionByName(x)
         return out
 
-    def _ends(self) -> list:
-        """Within the window: of all strings that start ``lo`` to ``hi`` bytes before the anchor."""
-        return [F.greatest(F.lit(0), F.col("at") - F.col("hi")), F.least(F.octet_length("window"), F.col("at") - F.col("lo") + self.length)]
+    def _against(self, large: DataFrame) -> DataFrame:
+        """Compare each window with its key's pivot, as multikey quicksort does.
 
-    def _extent(self):
-        a, b = self._ends()
-        return F.xxhash64(F.substring(F.col("window"), a + 1, b - a), F.col("at") - a)
+        A window agrees with the pivot for ``a`` bytes to the left of the anchor and ``b`` behind it. The
+        strings within that are marked in both (rows without a window: lo to hi). A string that reaches
+        further to the left can only match in windows that have the same ``a`` and the same next byte
+        there, and likewise to the right: those are the keys for the rest.
+        """
+        length, gram, reach = self.length, self.gram, self.reach
 
-    def _narrower(self, large: DataFrame) -> DataFrame:
-        """Both halves of the places in which a match may start, keyed by what all its strings share."""
-        length = self.length
+        def common(x: bytes, y: bytes, end: str) -> int:
+            v = int.from_bytes(x, end) ^ int.from_bytes(y, end)
+            return ((v & -v).bit_length() - 1) // 8 if v else len(x)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                rows = []
+                out: list[list] = [[] for _ in range(8)]
+                mine: dict[tuple, None] = {}
                 for r in batch.to_pylist():
-                    mid = (r["lo"] + r["hi"]) // 2
-                    for lo, hi in ((r["lo"], mid), (mid + 1, r["hi"])):
-                        a, b = r["at"] - lo, r["at"] - hi + length
-                        if lo <= hi and a >= 0 and b <= len(r["window"]):  # else no string of these starts lies in the document
-                            key = xxhash.xxh3_64_intdigest(r["window"][a:b], r["key"] + lo & (1 << 64) - 1)
-                            rows.append(r | {"key": key - (1 << 64) if key >> 63 else key, "lo": lo, "hi": hi})
-                yield pa.RecordBatch.from_pylist(rows, batch.schema)
+                    p, w, at = r["pivot"], r["window"], r["at"]
+                    if (r["did"], r["tid"], r["start"], at) == (p["did"], p["tid"], p["start"], p["at"]):
+                        continue
+                    v, vat = p["window"], p["at"]
+                    n, m = min(at, vat), min(len(w) - at, len(v) - vat)
+                    a = common(w[at - n : at], v[vat - n : vat], "big")
+                    b = common(w[at : at + m], v[vat : vat + m], "little") - gram
+                    lo, hi = r["lo"], r["hi"]
+                    first, last = max(lo, reach - b), min(hi, a)  # of a string: bytes before the anchor
+                    if first <= last:
+                        for x, c in (r, at), (p, vat):
+                            mine[(x["did"], x["tid"], x["start"] + c - last, x["start"] + c - first + length)] = None
+                    sides = []
+                    if max(lo, a + 1) <= hi and at > a:
+                        sides.append((1, a, w[at - a - 1], max(lo, a + 1), hi))
+                    if lo <= min(hi, reach - b - 1) and len(w) - at > gram + b:
+                        sides.append((2, b, w[at + gram + b], lo, min(hi, reach - b - 1)))
+                    for side, k, byte, low, high in sides:
+                        left, right = max(0, at - high), min(len(w), at - low + length)
+                        if right - left >= length:
+                            key = xxhash.xxh3_64_intdigest(bytes((side, k & 255, k >> 8, byte)), r["key"] & (1 << 64) - 1)
+                            for col, x in zip(out, (key - (1 << 64) if key >> 63 else key, low, high, r["did"], r["tid"], r["start"] + left, at - left, w[left:right])):
+                                col.append(x)
+                for did, tid, x, y in mine:
+                    for col, v in zip(out, (0, x, y, did, tid, 0, 0, None)):
+                        col.append(v)
+                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["key", "lo", "hi", "did", "tid", "start", "at", "window"])
 
         return large.mapInArrow(run, _WINDOW)
 
