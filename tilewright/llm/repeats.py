@@ -33,14 +33,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tilewright.llm.words import flat_bytes, slices
-from tilewright.storage import materialize
+from tilewright.storage import discard, materialize
 
 #: Bytes of an anchor.
 GRAM = 48
 #: An anchor with more distinct windows is keyed anew.
-GROUP_WINDOWS = 4096
-#: Bytes of windows that one index takes, at the end of the group that passes it.
-INDEX_BYTES = 2 << 20
+GROUP_WINDOWS = 1024
+#: Bytes of text that anchors are sought in at once: the arrays for it stay in a processor's cache.
+ANCHOR_SLICE = 1 << 18
+#: Bytes of windows that one index takes, at the end of the group that passes it, likewise.
+INDEX_BYTES = 1 << 18
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -133,7 +135,7 @@ class RunLengthIndex:
         key = self.words.byteswap()
         short = left < 8
         key[short] &= ~((np.uint64(1) << (np.uint64(8) * (8 - left[short]).astype(np.uint64))) - np.uint64(1))
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         rank = np.zeros(n, np.int64)
         rank[order[1:]] = np.cumsum(key[order[1:]] != key[order[:-1]])
         h = 8
@@ -211,7 +213,7 @@ class Repeats:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             digest = xxhash.xxh3_64_intdigest
             for batch in batches:
-                for part in slices(batch, "text"):
+                for part in slices(batch, "text", ANCHOR_SLICE):
                     data, offsets = flat_bytes(part.column("text"))
                     at, h = anchors(data, offsets, length, gram)
                     row = np.searchsorted(offsets, at, side="right") - 1
@@ -244,9 +246,10 @@ class Repeats:
 
     def ranges(self) -> DataFrame:
         """``(did, tid, a, b)``: byte ranges that go; together they cover all that does."""
-        found = self.anchors()
+        found = materialize(self.anchors(), "anchors")
         often = found.groupBy("h").agg(F.count("*").alias("n"), (F.min("w") != F.max("w")).alias("mixed")).where("n > 1").select("h", "mixed")
-        seen = materialize(found.join(often, "h"), "anchors")
+        seen = materialize(found.join(materialize(often, "often"), "h"), "seen")  # read again, so that a hot anchor can be split
+        discard(found)
         by_window = seen.groupBy("h", "w").agg(F.count("*").alias("n"), F.min(F.struct("did", "tid", "p")).alias("one"), F.first("mixed").alias("mixed"))
         counts = materialize(by_window.where("n > 1 or mixed"), "windows")
         twice = seen.join(counts.where("n > 1").select("h", "w"), ["h", "w"], "left_semi")
