@@ -34,7 +34,7 @@ def texts():
     return out + [w(160) + line + w(160) for _ in range(40)]
 
 
-@pytest.mark.parametrize("group_windows", [1024, 3])
+@pytest.mark.parametrize("group_windows", [4096, 3])
 def test_equals_brute_force(spark, monkeypatch, group_windows):
     monkeypatch.setattr(R, "GROUP_WINDOWS", group_windows)
     all_texts = texts()
