@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm import mixing, packing, quality, repeats, simhash
+from tilewright.llm import mixing, nearcopies, packing, quality, repeats
 from tilewright.storage import discard, materialize, ship
 
 
@@ -21,9 +21,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints the document with the smallest id stays."""
+    """Of each group of near copies (five-word shingles, Jaccard 0.8 or more) the document with the smallest id stays."""
     ship(spark)
-    return simhash.keep_one(docs)
+    return nearcopies.keep_one(docs)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
