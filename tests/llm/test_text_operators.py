@@ -59,6 +59,29 @@ def test_rules_keep_good_and_drop_bad(spark):
     assert quality.only_good(docs.limit(0), labels).count() == 0
 
 
+@pytest.mark.parametrize("labels", [100, 475])
+def test_rules_act_on_few_labels(spark, labels):
+    """Two languages need 72 good labels each; 475 of them set the sequence with one half."""
+    rng = random.Random(labels)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    good = [(2 * i + k, " ".join(word() + ("," if rng.random() < 0.1 else "") for _ in range(80)), lang) for k, lang in enumerate(("de", "fr")) for i in range(labels)]
+    bad = [(5000 + i, " ".join(word() + "###" for _ in range(80)), ("de", "fr")[i % 2]) for i in range(50)] + [(6000 + i, " ".join(word().upper() for _ in range(80)), "de") for i in range(50)]
+    docs = spark.createDataFrame(good + bad, "doc_id long, text string, lang string")
+    kept = {r["doc_id"] for r in quality.only_good(docs, spark.createDataFrame([(i, 1) for i, _, _ in good], "doc_id long, quality int")).collect()}
+    assert kept == {i for i, _, _ in good}
+
+
+def test_sequences_tighten_and_lose_what_their_step_allows():
+    grid = len(quality.GRID)
+    lost = [[0] * 10 + list(range(1, grid - 9)), [0] * grid, [5] * grid, [0] * grid, [0] * grid]
+    path = quality.sequence(lost, 100)
+    for a, b in zip(path, path[1:]):
+        assert all(x is None or y <= x for x, y in zip(a, b) if y is not None)
+    assert path[len(quality.LOOSER)][:3] == [quality.GRID[9], quality.GRID[-1], None] and path[-1][2] == quality.GRID[-1]
+    assert quality.sequence(lost, 0) == [[c] * 5 for c in quality.GRID]
+    assert quality.last_held([0] * 5, 85, 0.05, 0.0125) is None and quality.last_held([0] * 5, 86, 0.05, 0.0125) == 4
+
+
 def test_ids_are_the_tokenizers():
     encoder = packing._encoder("word_bpe_49k.json")
     assert encoder.exact

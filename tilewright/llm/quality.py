@@ -1,18 +1,22 @@
 """Quality rules whose cutoffs limit the risk of rejecting good documents.
 
 Base statistics are counted over whole texts. On top of the fixed base rule, each ratio rule rejects a
-document whose ratio passes a cutoff. Cutoffs come from labelled documents: within a stratum (language),
-a grid of cutoffs is tested from the loosest to the tightest, and a cutoff holds while the exact binomial
-test rejects, at its level, that more than the allowed share of good documents would be lost. Testing in
-a fixed order needs no correction within a rule; over rules and strata the level is divided (Bonferroni),
-and the allowed share over the rules, so that all rules together lose no more than ``risk`` of the good
-documents of any stratum, with probability 1 - ``delta``. A stratum with too few labels gets no cutoff.
+document whose ratio passes a cutoff. Cutoffs come from labelled documents: within a stratum (language), a
+sequence of vectors, a cutoff for each rule, is tested from the loosest to the tightest, and a vector holds
+while the exact binomial test rejects, at its level, that all rules together would lose more than ``risk`` of
+the good documents. Testing in a fixed order needs no correction; over strata the level is divided
+(Bonferroni). So with probability 1 - ``delta`` no stratum loses more than ``risk``.
+
+The sequence must not depend on the documents it is tested on. Where a stratum has labels enough for two tests,
+half of them (by a hash of the id) set the sequence, so that at each step every rule alone would lose the same
+share of that half, and the other half tests it. With fewer, all rules have the same cutoff of the grid, and
+all labels test. Below about log(level) / log(1 - risk) labels no cutoff can hold.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import exp, lgamma, log, log1p
+from math import ceil, exp, lgamma, log, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +30,16 @@ from tilewright.storage import materialize
 
 #: Allowed share of good documents rejected in a stratum, and the probability of a cutoff set wrong.
 RISK, DELTA = 0.05, 0.05
+#: Texts are counted in slices of about so many bytes, which bounds a worker's memory.
+SLICE_BYTES = 2 << 20
 #: Bounds of the base rule.
 LEAST_WORDS, MOST_REPEATED_PERCENT = 50, 50
 #: Ratio rules: name, numerator, denominator. A document goes if the ratio exceeds the cutoff.
 RULES = (("symbols", "n_symbols", "n_words"), ("capitals", "n_capitals", "n_letters"), ("dup_lines", "n_dup_lines", "n_lines"), ("repeat_words", "n_repeat_words", "n_words"), ("marks", "n_marks", "n_words"))
 #: Cutoffs from the loosest to the tightest.
 GRID = tuple(round(x, 4) for x in [3.0, 2.0, 1.5, 1.0, *(0.9 - 0.05 * i for i in range(14)), 0.2, 0.175, 0.15, 0.125, 0.1, 0.08, 0.06, 0.05])
+#: Steps of a sequence: places of the grid looser than what loses nothing, then shares that a rule alone may lose.
+LOOSER, SHARES = (8, 4, 2, 1), (0.0, *(0.0025 * i for i in range(1, 21)))
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_capitals", "n_marks")
 
 _SYMBOL = np.zeros(256, bool)
@@ -106,7 +114,7 @@ def counted(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE_BYTES):
                 got = text_counts(part.column("text"))
                 yield pa.RecordBatch.from_arrays([part.column("row"), *(pa.array(got[c].astype(np.int64)) for c in COUNTS)], schema.names)
 
@@ -131,38 +139,77 @@ def binomial_tail(k: int, n: int, p: float) -> float:
     return min(1.0, exp(top) * sum(exp(t - top) for t in terms))
 
 
-def choose(lost: list[int], n: int, share: float, level: float) -> float | None:
-    """The tightest cutoff of the fixed sequence, given the good documents that each would lose."""
+def last_held(lost: list[int], n: int, share: float, level: float) -> int | None:
+    """The last step of a fixed sequence that holds, given the good documents that each would lose."""
     found = None
-    for cutoff, k in zip(GRID, lost):
+    for i, k in enumerate(lost):
         if k / max(n, 1) >= share or binomial_tail(k, n, share) > level:
             break
-        found = cutoff
+        found = i
     return found
 
 
-def thresholds(labelled: DataFrame, stratum: str = "stratum", risk: float = RISK, delta: float = DELTA) -> DataFrame:
+def choose(lost: list[int], n: int, share: float, level: float) -> float | None:
+    """The tightest cutoff of the grid that holds."""
+    found = last_held(lost[: len(GRID)], n, share, level)
+    return None if found is None else GRID[found]
+
+
+def sequence(lost: list[list[int]], n: int) -> list[list[float | None]]:
+    """Vectors of cutoffs from the loosest to the tightest, given what each rule's grid loses of ``n`` documents.
+
+    At a step all rules have the tightest cutoff that alone loses at most the step's share; the first steps
+    are some places of the grid looser than what loses nothing. None: the rule is off.
+    """
+    if not n:
+        return [[c] * len(lost) for c in GRID]
+    out = []
+    for looser, share in [*((x, 0.0) for x in LOOSER), *((0, x) for x in SHARES)]:
+        at = [sum(k <= share * n for k in rule) - 1 for rule in lost]  # losses grow along the grid
+        out.append([None if i < 0 else GRID[max(i - looser, 0)] for i in at])
+    return out
+
+
+def thresholds(labelled: DataFrame, stratum: str = "stratum", risk: float = RISK, delta: float = DELTA, id_col: str = "__id") -> DataFrame:
     """``(stratum, symbols, capitals, ...)``: a cutoff for each rule, null where none is safe.
 
-    ``labelled`` holds the counts of the good documents of the holdout. All are counted, in one grouped
-    aggregation, into as many numbers for each stratum as there are cutoffs.
+    ``labelled`` holds the counts of the good documents of the holdout. All are counted, in two grouped
+    aggregations: what each rule's cutoffs lose of one half, and what the sequence's steps lose of the other.
     """
-    held = labelled.where(~_base_failed())
-    sums = [F.sum((_ratio(a, b) > c).cast("long")).alias(f"{name}_{i}") for name, a, b in RULES for i, c in enumerate(GRID)]
-    strata = held.groupBy(stratum).agg(F.count("*").alias("n"), *sums)
-    lists = strata.select(stratum, "n", *[F.array(*[f"{name}_{i}" for i in range(len(GRID))]).alias(name) for name, _, _ in RULES])
-    share = risk / len(RULES)
     names = [name for name, _, _ in RULES]
-    schema = T.StructType([labelled.schema[stratum], *(T.StructField(x, T.DoubleType()) for x in names)])
-    tests = max(1, held.select(stratum).distinct().count()) * len(RULES)
+    held = labelled.where(~_base_failed()).select(stratum, (F.pmod(F.xxhash64(id_col), F.lit(2)) == 0).alias("first"), *[_ratio(a, b).alias(name) for name, a, b in RULES])
+    sizes = held.groupBy(stratum).agg(F.count("*").alias("labels"))
+    level = delta / max(1, sizes.count())
+    least = ceil(log(level) / log1p(-risk))
+    # only how many labels there are decides whether half of them set the sequence
+    held = held.join(sizes, stratum).withColumn("sets", F.col("first") & (F.col("labels") >= 3 * least))
+    sums = [F.sum((F.col("sets") & (F.col(name) > c)).cast("long")).alias(f"{name}_{i}") for name in names for i, c in enumerate(GRID)]
+    strata = held.groupBy(stratum).agg(F.sum(F.col("sets").cast("long")).alias("n"), *sums)
+    lists = strata.select(stratum, "n", *[F.array(*[f"{name}_{i}" for i in range(len(GRID))]).alias(name) for name in names])
+    steps = T.StructType([labelled.schema[stratum], T.StructField("step", T.IntegerType()), *(T.StructField(x, T.DoubleType()) for x in names)])
+
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                path = sequence([row[x] for x in names], row["n"])
+                cols = [pa.array([v[i] for v in path], pa.float64()) for i in range(len(names))]
+                yield pa.RecordBatch.from_arrays([pa.array([row[stratum]] * len(path), batch.schema.field(stratum).type), pa.array(range(len(path)), pa.int32()), *cols], steps.names)
+
+    path = materialize(lists.mapInArrow(vectors, steps), "steps")
+    over = F.lit(False)
+    for name in names:
+        over = over | F.coalesce(F.col(name) > F.col(f"cut_{name}"), F.lit(False))
+    cuts = path.select(stratum, "step", *[F.col(x).alias(f"cut_{x}") for x in names])
+    lost = held.where(~F.col("sets")).join(F.broadcast(cuts), stratum).groupBy(stratum, "step").agg(F.count("*").alias("n"), F.sum(over.cast("long")).alias("lost"))
+    tested = lost.groupBy(stratum).agg(F.first("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("step", "lost"))), lambda x: x["lost"]).alias("lost"))
+    last = T.StructType([labelled.schema[stratum], T.StructField("step", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.column("n").to_pylist()
-            cols = [[choose(lost, k, share, delta / tests) for lost, k in zip(batch.column(x).to_pylist(), n)] for x in names]
-            yield pa.RecordBatch.from_arrays([batch.column(stratum), *(pa.array(c, pa.float64()) for c in cols)], schema.names)
+            found = [last_held(k, n, risk, level) for k, n in zip(batch.column("lost").to_pylist(), batch.column("n").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(stratum), pa.array(found, pa.int32())], last.names)
 
-    return lists.mapInArrow(run, schema)
+    return path.join(tested.mapInArrow(run, last), [stratum, "step"]).drop("step")
 
 
 def judged(docs: DataFrame, labels: DataFrame | None, keep: list[str], id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", risk: float = RISK, delta: float = DELTA) -> DataFrame:
