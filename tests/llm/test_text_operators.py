@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import string
 import zlib
 from collections import Counter
 
@@ -299,3 +300,18 @@ def test_language(spark):
     assert sum(r["lang"] == ("aa", "bb")[r["doc_id"] % 2] for r in got if r["doc_id"] is not None) == 120
     none = language.digest(docs.limit(0), spark.createDataFrame(rows, "page_id long, url string, html string"))
     assert none.where("lang is null").count() == len(rows)
+
+
+def test_language_models_for_all_languages(spark):
+    """Seventy languages, the rare ones with 3 documents beside 300 of a common one, and a sample of 6 for each."""
+    rng = random.Random(10)
+    letters = {f"l{chr(97 + i // 26)}{chr(97 + i % 26)}"[-3:]: "".join(rng.sample(string.ascii_lowercase, 4)) for i in range(70)}
+    make = lambda k: " ".join("".join(rng.choice(letters[k]) for _ in range(5)) for _ in range(60))
+    kinds = [k for k in letters for _ in range(3)] + [next(iter(letters))] * 300
+    docs = spark.createDataFrame([(i, make(k), k, None) for i, k in enumerate(kinds)], "doc_id long, text string, lang string, source string")
+    pages = spark.createDataFrame([(i, None, f'<html lang="{k}"><body></body></html>') for i, k in enumerate(letters)], "page_id long, url string, html string")
+    languages, models = language.language_models(docs, sample_docs=6)
+    assert languages == sorted(letters) and len(models) == 70 and all(np.ptp(m) > 1 for m in models)
+    got = language.digest(docs, pages).collect()
+    assert sum(r["lang"] == kinds[r["doc_id"]] for r in got if r["doc_id"] is not None) > 0.97 * len(kinds)
+    assert all(r["declared"] == list(letters)[r["page_id"]] for r in got if r["page_id"] is not None)

@@ -1,7 +1,7 @@
 """Language identification by Bayesian fusion of evidence.
 
 * Text: log-likelihoods of hashed byte n-grams under a model of each language, trained on a bounded sample
-  of documents of known language. Neighbouring n-grams overlap, so their sum is divided by their length.
+  of the documents of that language. Every language of the documents has a model. Neighbouring n-grams overlap, so their sum is divided by their length.
 * Declared markup language: right with a rate that is estimated over all pages from its agreement with the
   text's own verdict; a wrong one is any other language alike.
 * Address: for each host, the text's own posteriors are summed over its pages; a host's prior is smoothed
@@ -27,38 +27,53 @@ from tilewright.llm.textscore import GRAM, SLOTS_BITS, gram_rows, mean_scores, s
 from tilewright.llm.words import flat_bytes, slices
 from tilewright.storage import materialize
 
-#: Documents, about, that the text models are trained on; languages, the most frequent, that get one.
-SAMPLE_DOCS, MOST_LANGUAGES = 5000, 64
+#: Documents, about, of each language that its text model is trained on.
+SAMPLE_DOCS = 5000
 #: Pages that a prior further up counts as.
 SUFFIX_WEIGHT, HOST_WEIGHT = 20.0, 5.0
 _DECLARED = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?\s*([A-Za-z]{2,3})", re.I)
 
 
-def language_models(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS) -> tuple[list[str], np.ndarray]:
-    """Languages in order and, for each, the log-probabilities of the slots."""
-    sizes = docs.where(F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
-    languages = sorted(r["lang"] for r in sizes)
-    share = min(1.0, sample_docs / max(sum(r["count"] for r in sizes), 1))
+def language_models(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, id_col: str = "doc_id") -> tuple[list[str], np.ndarray]:
+    """Languages in order and, for each, the log-probabilities of the slots.
+
+    A language of at most ``sample_docs`` documents is trained on all of them, however many others there are.
+    """
+    sizes = materialize(docs.where(F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).cast("string").alias("lang")).count(), "languages")
+    languages = sorted(r["lang"] for r in sizes.select("lang").collect())
     code = {x: k for k, x in enumerate(languages)}
-    known = docs.where(F.pmod(F.xxhash64(text_col), F.lit(1 << 20)) < F.lit(share * (1 << 20))).select(F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text"))
+    drawn = F.pmod("draw", F.lit(1 << 40)) < F.lit(float(sample_docs)) / F.col("count") * F.lit(float(1 << 40))
+    texts = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.xxhash64(id_col, text_col).alias("draw"))
+    known = texts.join(F.broadcast(sizes), "lang").where(drawn).select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(code), 1 << SLOTS_BITS), np.int64)
+        total: dict[int, np.ndarray] = {}
         for batch in batches:
             for part in slices(batch, "text"):
                 data, offsets = flat_bytes(part.column("text"))
                 at = slots(data, fold=True)
                 for lang, a, b in zip(part.column("lang").to_pylist(), *(x.tolist() for x in gram_rows(offsets))):
-                    if lang in code:
-                        total[code[lang]] += np.bincount(at[a:b], minlength=1 << SLOTS_BITS)
-        row, slot = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(row.astype(np.int32)), pa.array(slot.astype(np.int32)), pa.array(total[row, slot])], ["lang", "slot", "n"])
+                    k = code[lang]
+                    if k not in total:
+                        total[k] = np.zeros(1 << SLOTS_BITS, np.int64)
+                    total[k] += np.bincount(at[a:b], minlength=1 << SLOTS_BITS)
+        for k, counts in total.items():
+            slot = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(slot), k, np.int32)), pa.array(slot.astype(np.int32)), pa.array(counts[slot])], ["lang", "slot", "n"])
+
+    def model(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                counts = np.full(1 << SLOTS_BITS, 0.5)
+                counts[row["slots"]] += row["ns"]
+                yield pa.RecordBatch.from_arrays([pa.array([row["lang"]], pa.int32()), pa.array([np.log(counts / counts.sum()).astype(np.float32).tobytes()])], ["lang", "log"])
 
-    out = np.full((len(languages), 1 << SLOTS_BITS), 0.5)
+    out = np.full((len(languages), 1 << SLOTS_BITS), -np.log(1 << SLOTS_BITS), np.float32)
     counted = known.mapInArrow(run, "lang int, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
-    for r in counted.toLocalIterator():  # at most languages x slots
-        out[r["lang"], r["slot"]] += r["n"]
-    return languages, np.log(out / out.sum(axis=1, keepdims=True)).astype(np.float32)
+    grouped = counted.groupBy("lang").agg(F.collect_list(F.struct("slot", "n")).alias("all")).select("lang", F.col("all.slot").alias("slots"), F.col("all.n").alias("ns"))
+    for r in grouped.mapInArrow(model, "lang int, log binary").toLocalIterator():  # a row for each language
+        out[r["lang"]] = np.frombuffer(r["log"], np.float32)
+    return languages, out
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -114,19 +129,19 @@ def identify(table: DataFrame, languages: list[str]) -> DataFrame:
     hosts = rows.where("host is not null").groupBy("host").agg(F.array(*sums_of(k)).alias("by_host"))
     joined = rows.join(hosts, "host", "left").join(suffixes, "suffix", "left")
 
-    def less(column: str, i: int):  # without the row itself
-        return F.greatest(F.lit(0.0), F.coalesce(F.get(column, F.lit(i)) - cols[i], F.lit(0.0)))
-
-    def smoothed(column: str, weight: float, above: list):
-        total = F.lit(0.0)
-        for i in range(k):
-            total = total + less(column, i)
-        return [(less(column, i) + weight * above[i]) / (total + weight) for i in range(k)]
-
-    joined = joined.withColumn("p", F.array(*smoothed("by_suffix", SUFFIX_WEIGHT, [F.lit(x) for x in everywhere])) if k else F.array())
-    joined = joined.withColumn("p", F.array(*smoothed("by_host", HOST_WEIGHT, [F.get("p", F.lit(i)) for i in range(k)])) if k else F.array())
-    says = lambda i: F.when(F.col("declared").isin(languages), F.when(F.col("declared") == languages[i], F.lit(float(np.log(right)))).otherwise(F.lit(float(np.log(max(wrong, 1e-12)))))).otherwise(0.0)
-    fused = F.array(*[F.get("log", F.lit(i)) + F.ln(F.get("p", F.lit(i))) + says(i) for i in range(k)]) if k else F.array().cast("array<double>")
+    def smoothed(column: str, weight: float, above):
+        sums = F.coalesce(column, F.array_repeat(F.lit(0.0), k))
+        less = F.zip_with(sums, "own", lambda s, o: F.greatest(F.lit(0.0), F.coalesce(s - o, F.lit(0.0))))  # without the row itself
+        return F.aggregate(less, F.lit(0.0), lambda a, x: a + x, lambda total: F.zip_with(less, above, lambda x, p: (x + weight * p) / (total + weight)))
+
+    if k:
+        joined = joined.withColumn("p", smoothed("by_suffix", SUFFIX_WEIGHT, F.array(*[F.lit(x) for x in everywhere])))
+        joined = joined.withColumn("p", smoothed("by_host", HOST_WEIGHT, F.col("p")))
+        joined = joined.withColumn("at", F.coalesce(F.array_position(names, F.col("declared")), F.lit(0)))
+        says = lambda i: F.when(F.col("at") == 0, 0.0).when(F.col("at") == i + 1, float(np.log(right))).otherwise(float(np.log(max(wrong, 1e-12))))
+        fused = F.transform(F.zip_with("log", "p", lambda x, p: x + F.ln(p)), lambda x, i: x + says(i))
+    else:
+        fused = F.array().cast("array<double>")
     joined = joined.withColumn("fused", fused).withColumn("best", F.array_max("fused"))
     weight = F.aggregate("fused", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("best")))
     return joined.select("key", F.get(names, (F.array_position("fused", F.col("best")) - 1).cast("int")).alias("lang"), F.round(1.0 / weight, 6).alias("posterior"), "text_lang", "declared")
