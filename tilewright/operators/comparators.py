@@ -85,6 +85,8 @@ def mean_shift(points: DataFrame, bandwidth: float, rounds: int = 50) -> DataFra
         seeds = moved.select("seed", F.col("mx").alias("sx"), F.col("my").alias("sy"))
         if (moved.agg(F.max("step")).first()[0] or 0.0) < 1e-3 * bandwidth:
             break
+    else:
+        raise RuntimeError(f"seeds still move after {rounds} rounds")
     modes: list[tuple[float, float]] = []
     for r in moved.orderBy(F.desc("n"), "mx", "my").toLocalIterator():
         if all((r["mx"] - x) ** 2 + (r["my"] - y) ** 2 > bandwidth**2 for x, y in modes):
