@@ -4,6 +4,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tilewright.llm import nearcopies as N
@@ -52,7 +53,7 @@ def planted(seed=3):
     return list(enumerate(rows))
 
 
-@pytest.mark.parametrize("block_sets,rounds", [(50, 4), (3, 4), (3, 0)])
+@pytest.mark.parametrize("block_sets,rounds", [(2048, 3), (4, 3), (4, 0)])
 def test_groups_equal_brute_force(spark, monkeypatch, block_sets, rounds):
     monkeypatch.setattr(N, "BLOCK_SETS", block_sets)
     monkeypatch.setattr(N, "PIVOT_ROUNDS", rounds)
@@ -71,14 +72,41 @@ def test_the_pipeline_stage_drops_near_copies_of_similarity_0_8(spark):
 def test_rows_of_all_kinds(spark):
     text = " ".join(f"w{i}" for i in range(300))
     rows = [(5, text), (3, text), (3, text), (None, text), (9, None), (7, ""), (8, " \t"), (1, "other words here now"), (4, "Other  words\nhere NOW"), (2, text.replace("w150", "x")), (6, "long " * 50_000)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("__text_hash", F.lit("clash")).withColumn("th", F.lit(1)).withColumn("id", F.lit(2))
     got = N.near_copies(docs).collect()
     want = brute_groups(rows)
     assert sorted(map(str, ((r[0], r[1]) for r in got))) == sorted(map(str, ((i, w) for (i, _), w in zip(rows, want))))
     assert sorted(map(str, (r["doc_id"] for r in N.keep_one(docs).collect()))) == sorted(map(str, {*want, None}))
+    assert N.keep_one(docs).columns == docs.columns and {r["__text_hash"] for r in N.keep_one(docs).collect()} == {"clash"}
     assert N.near_copies(docs.limit(0)).count() == 0
 
 
+def test_sketches_bound_the_difference_and_forests_span():
+    rng = np.random.default_rng(5)
+    for n in (3, 40, 900):
+        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[: n // 2], rng.integers(0, 1 << 63, n // 2, dtype=np.uint64)]))
+        assert sum((x ^ y).bit_count() for x, y in zip(N._sketch(a), N._sketch(b))) <= len(np.setxor1d(a, b))
+    i, j = np.array([1, 2, 3, 3, 5, 6, 6, 7]), np.array([0, 1, 0, 2, 4, 0, 5, 6])
+    left, right = N._forest(9, i, j)
+    assert len(left) == 7 and {(a, b) for a, b in zip(left.tolist(), right.tolist())} <= set(zip(i.tolist(), j.tolist()))
+
+
+def test_wide_fingerprints_pass_what_is_similar():
+    """Bits differ as often as the angle says, and no pair of similarity 0.8 is ruled out."""
+    rng = np.random.default_rng(3)
+    for n in (64, 80, 500):
+        far = []
+        for _ in range(300):
+            a = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+            b = a.copy()
+            b[: n // 9] = rng.integers(0, 1 << 63, n // 9, dtype=np.uint64)
+            far.append(int(np.bitwise_count(N.wide_fingerprint(a) ^ N.wide_fingerprint(b)).sum()))
+        assert max(far) <= N.RADIUS and 30 < np.mean(far) < 42
+    other = [int(np.bitwise_count(N.wide_fingerprint(rng.integers(0, 1 << 63, 200, dtype=np.uint64)) ^ N.wide_fingerprint(a)).sum()) for _ in range(200)]
+    assert min(other) > N.RADIUS
+
+
 def test_sets_and_bounds_are_exact():
     rng = random.Random(1)
     texts = [None, "", "a", "A b", "a b c d e", "a b c d e f a b c d e", "é\x0bx y z w v"] + [" ".join(rng.choice("abc") for _ in range(rng.randint(0, 40))) for _ in range(60)]
@@ -88,6 +116,4 @@ def test_sets_and_bounds_are_exact():
         for j in range(len(texts)):
             x, y = h[offsets[i] : offsets[i + 1]], h[offsets[j] : offsets[j + 1]]
             assert len(np.intersect1d(x, y)) == len(shingles(texts[i]) & shingles(texts[j]))
-            differ = sum((a ^ b).bit_count() for a, b in zip(N._sketch(x), N._sketch(y)))
-            assert differ <= len(shingles(texts[i]) ^ shingles(texts[j]))
     assert N.prefix_size(np.array([0, 1, 4, 5, 10, 11]), LEAST).tolist() == [0, 1, 1, 2, 3, 3]

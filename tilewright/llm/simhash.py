@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from tilewright.llm.words import slices
 from tilewright.operators.components import connected_components
-from tilewright.storage import materialize
+from tilewright.storage import discard, hinted, materialize
 
 WORD = 64
 #: Rows of the queries that one sweep over the planes handles.
@@ -54,25 +54,30 @@ def fingerprint(text: str | None, k: int = 4, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, seed: int = 42) -> DataFrame:
-    """``(id, fp)``: the fingerprint of each row as a signed long."""
+    """``(id, th, fp)``: the text's hash, and its fingerprint as a signed long."""
     id_type = docs.schema[id_col].dataType
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    text = docs[f"`{text_col}`"].cast("string")
+    source = docs.select(docs[f"`{id_col}`"].alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 fp = np.fromiter((fingerprint(t, k, seed) for t in part.column("text").to_pylist()), np.uint64, part.num_rows)
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(fp.view(np.int64))], ["id", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("th"), pa.array(fp.view(np.int64))], ["id", "th", "fp"])
 
-    return source.mapInArrow(run, T.StructType([T.StructField("id", id_type), T.StructField("fp", T.LongType())]))
+    return source.mapInArrow(run, T.StructType([T.StructField("id", id_type), T.StructField("th", T.LongType()), T.StructField("fp", T.LongType())]))
 
 
 def bit_planes(fps: np.ndarray) -> np.ndarray:
-    """64 rows of machine words: bit j of word w in row b is bit b of fingerprint 64 w + j."""
+    """A row of machine words for each bit: bit j of word w in row b is bit b of fingerprint 64 w + j.
+
+    A fingerprint is one word, or a row of words that follow each other.
+    """
+    fps = fps.reshape(len(fps), -1)
     n = -(-len(fps) // WORD) * WORD
-    padded = np.zeros(n, np.uint64)
+    padded = np.zeros((n, fps.shape[1]), np.uint64)
     padded[: len(fps)] = fps
-    bits = np.unpackbits(padded.astype("<u8").view(np.uint8).reshape(n, 8), axis=1, bitorder="little")
+    bits = np.unpackbits(padded.astype("<u8").view(np.uint8).reshape(n, -1), axis=1, bitorder="little")
     return np.packbits(bits.T.copy(), axis=1, bitorder="little").view("<u8")
 
 
@@ -81,14 +86,15 @@ def within(planes: np.ndarray, queries: np.ndarray, radius: int, check_every: in
 
     The counters hold distance modulo 2^c with 2^c > radius; ``over`` keeps what has passed it.
     """
+    queries = queries.reshape(len(queries), -1)
     c = max(1, int(radius + 1).bit_length())
     shape = (len(queries), planes.shape[1])
     count = [np.zeros(shape, np.uint64) for _ in range(c)]
     over = np.zeros(shape, np.uint64)
     full = np.uint64(0xFFFFFFFFFFFFFFFF)
     live = np.arange(shape[1])  # words in which some distance may still be within the radius
-    for b in range(64):
-        mask = (np.uint64(0) - ((queries >> np.uint64(b)) & np.uint64(1)))[:, None]
+    for b in range(len(planes)):
+        mask = (np.uint64(0) - ((queries[:, b // WORD] >> np.uint64(b % WORD)) & np.uint64(1)))[:, None]
         carry = planes[b][None, live] ^ mask
         for i in range(c):
             carry, count[i] = carry & count[i], carry ^ count[i]
@@ -236,6 +242,19 @@ def _compare(keyed: DataFrame, radius: int) -> DataFrame:
     return dealt.select("fp", "mask", "part").mapInPandas(run, "u long, v long")
 
 
+def _labelled(docs: DataFrame, id_col: str, text_col: str, k: int, radius: int, seed: int) -> DataFrame:
+    """``(id, th, fp, component_id)`` for every row; th is the text's hash."""
+    fp = materialize(fingerprints(docs, id_col, text_col, k, seed), "fingerprints")
+    by_fp = fp.groupBy("fp").agg(F.min("id").alias("low"))
+    distinct = materialize(by_fp.select("fp"), "distinct")
+    roots = materialize(connected_components(links(distinct, radius)), "roots")
+    discard(distinct)
+    least = by_fp.join(roots, by_fp.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "low")
+    component = least.groupBy("root").agg(F.min("low").alias("component_id"))
+    label = least.where("fp is not null").select("fp", "root").join(component, "root").select("fp", "component_id")
+    return fp.join(label, "fp")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, radius: int = 4, seed: int = 42) -> DataFrame:
     """``(id_col, fingerprint, component_id)`` for every row.
 
@@ -245,24 +264,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Repeated rows all appear. Other columns are not read, so their names cannot clash. An empty table
     gives an empty result.
     """
-    fp = materialize(fingerprints(docs, id_col, text_col, k, seed), "fingerprints")
-    by_fp = fp.groupBy("fp").agg(F.min("id").alias("low"))
-    roots = materialize(connected_components(links(materialize(by_fp.select("fp"), "distinct"), radius)), "roots")
-    least = by_fp.join(roots, by_fp.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "low")
-    component = least.groupBy("root").agg(F.min("low").alias("component_id"))
-    label = least.where("fp is not null").select("fp", "root").join(component, "root").select("fp", "component_id")
-    out = fp.join(label, "fp")
+    out = _labelled(docs, id_col, text_col, k, radius, seed)
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, radius: int = 4) -> DataFrame:
-    """The rows of ``docs`` whose id is their group's smallest, with all their columns.
+def rows_kept(docs: DataFrame, labelled: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` whose id is their group's smallest, with all their columns, whatever these are called.
 
-    Of rows that repeat both id and text one stays. Rows that share an id but not their text are told
-    apart by the text's hash. Rows with a null id stay.
+    ``labelled``: id, th (XXH64 of the text), component_id. Of rows that repeat both id and text one stays. Rows
+    that share an id but not their text are told apart by the text's hash. Rows with a null id stay. Only rows
+    that are repeated are shuffled with their text, unless what goes is too much to broadcast.
     """
-    groups = near_duplicates(docs, id_col, text_col, k, radius)
-    first = groups.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    kept = docs.where(F.col(id_col).isNotNull()).join(first, id_col, "left_semi").withColumn("__text_hash", F.xxhash64(F.col(text_col)))
-    kept = kept.dropDuplicates([id_col, "__text_hash"]).select(*docs.columns)
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+    known = materialize(labelled.select("id", "th", "component_id").where("id is not null"), "labelled")
+    gone = materialize(known.where("id <> component_id").select("id", "th").distinct(), "gone")
+    often = materialize(known.where("id = component_id").groupBy("id", "th").count().where("count > 1").select("id", "th"), "often")
+    discard(known)
+    row = F.struct(*[docs[f"`{c}`"] for c in docs.columns])
+    source = docs.select(row.alias("row"), docs[f"`{id_col}`"].alias("id"), F.xxhash64(docs[f"`{text_col}`"].cast("string")).alias("th"))
+    stay = source.join(hinted(gone), ["id", "th"], "left_anti")
+    if often.isEmpty():
+        return stay.select("row.*")
+    often = hinted(often)
+    one = stay.join(often, ["id", "th"], "left_semi").dropDuplicates(["id", "th"])
+    return stay.join(often, ["id", "th"], "left_anti").select("row.*").unionByName(one.select("row.*"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, radius: int = 4, seed: int = 42) -> DataFrame:
+    """One row for each group of :func:`near_duplicates`, as :func:`rows_kept` says."""
+    return rows_kept(docs, _labelled(docs, id_col, text_col, k, radius, seed), id_col, text_col)

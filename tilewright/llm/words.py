@@ -6,6 +6,7 @@ U+0009 to U+000D. Arrow splits them in C++; nothing here loops over words in Pyt
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Texts are taken in slices of about so many bytes, which bounds a task's memory whatever the batch.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -53,3 +54,12 @@ def per_row(rows: np.ndarray, n: int, weights: np.ndarray | None = None) -> np.n
     total = np.concatenate([[0], np.cumsum(weights, dtype=np.int64)])
     ends = np.searchsorted(rows, np.arange(n + 1))
     return total[ends[1:]] - total[ends[:-1]]
+
+
+def give_back() -> None:
+    """Return the freed memory of a reused Python worker to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
