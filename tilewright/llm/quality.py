@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tilewright.llm.words import flat_bytes, per_row, slices, split_words
-from tilewright.storage import materialize
+from tilewright.llm.words import flat_bytes, give_back, per_row, slices, split_words
+from tilewright.storage import BROADCAST_ROWS, discard, hinted, materialize
 
 #: Allowed share of good documents rejected in a stratum, and the probability of a cutoff set wrong.
 RISK, DELTA = 0.05, 0.05
@@ -107,16 +107,17 @@ def _repeats(words: pa.Array, rows: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(rows[hit], minlength=n).astype(np.int64)
 
 
-def counted(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The ``keep`` columns as a struct ``row``, and the counts of each text."""
-    source = docs.select(F.struct(*[docs[f"`{c}`"] for c in keep]).alias("row"), docs[f"`{text_col}`"].cast("string").alias("text"))
-    schema = T.StructType([source.schema["row"], *(T.StructField(c, T.LongType()) for c in COUNTS)])
+def counted(source: DataFrame) -> DataFrame:
+    """``source`` with the counts of each text in place of ``text``, its last column."""
+    rest = source.columns[:-1]
+    schema = T.StructType([*(source.schema[c] for c in rest), *(T.StructField(c, T.LongType()) for c in COUNTS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
                 got = text_counts(part.column("text"))
-                yield pa.RecordBatch.from_arrays([part.column("row"), *(pa.array(got[c].astype(np.int64)) for c in COUNTS)], schema.names)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), *(pa.array(got[c].astype(np.int64)) for c in COUNTS)], schema.names)
+        give_back()
 
     return source.mapInArrow(run, schema)
 
@@ -170,7 +171,7 @@ def sequence(lost: list[list[int]], n: int) -> list[list[float | None]]:
     return out
 
 
-def thresholds(labelled: DataFrame, stratum: str = "stratum", risk: float = RISK, delta: float = DELTA, id_col: str = "__id") -> DataFrame:
+def thresholds(labelled: DataFrame, stratum: str = "stratum", risk: float = RISK, delta: float = DELTA, id_col: str = "id") -> DataFrame:
     """``(stratum, symbols, capitals, ...)``: a cutoff for each rule, null where none is safe.
 
     ``labelled`` holds the counts of the good documents of the holdout. All are counted, in two grouped
@@ -178,11 +179,12 @@ def thresholds(labelled: DataFrame, stratum: str = "stratum", risk: float = RISK
     """
     names = [name for name, _, _ in RULES]
     held = labelled.where(~_base_failed()).select(stratum, (F.pmod(F.xxhash64(id_col), F.lit(2)) == 0).alias("first"), *[_ratio(a, b).alias(name) for name, a, b in RULES])
-    sizes = held.groupBy(stratum).agg(F.count("*").alias("labels"))
+    held = held_table = materialize(held, "held")
+    sizes = materialize(held.groupBy(stratum).agg(F.count("*").alias("labels")), "strata")
     level = delta / max(1, sizes.count())
     least = ceil(log(level) / log1p(-risk))
     # only how many labels there are decides whether half of them set the sequence
-    held = held.join(sizes, stratum).withColumn("sets", F.col("first") & (F.col("labels") >= 3 * least))
+    held = held.join(hinted(sizes), stratum).withColumn("sets", F.col("first") & (F.col("labels") >= 3 * least))
     sums = [F.sum((F.col("sets") & (F.col(name) > c)).cast("long")).alias(f"{name}_{i}") for name in names for i, c in enumerate(GRID)]
     strata = held.groupBy(stratum).agg(F.sum(F.col("sets").cast("long")).alias("n"), *sums)
     lists = strata.select(stratum, "n", *[F.array(*[f"{name}_{i}" for i in range(len(GRID))]).alias(name) for name in names])
@@ -200,7 +202,7 @@ def thresholds(labelled: DataFrame, stratum: str = "stratum", risk: float = RISK
     for name in names:
         over = over | F.coalesce(F.col(name) > F.col(f"cut_{name}"), F.lit(False))
     cuts = path.select(stratum, "step", *[F.col(x).alias(f"cut_{x}") for x in names])
-    lost = held.where(~F.col("sets")).join(F.broadcast(cuts), stratum).groupBy(stratum, "step").agg(F.count("*").alias("n"), F.sum(over.cast("long")).alias("lost"))
+    lost = held.where(~F.col("sets")).join(F.broadcast(cuts) if path.count() <= BROADCAST_ROWS else cuts, stratum).groupBy(stratum, "step").agg(F.count("*").alias("n"), F.sum(over.cast("long")).alias("lost"))
     tested = lost.groupBy(stratum).agg(F.first("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("step", "lost"))), lambda x: x["lost"]).alias("lost"))
     last = T.StructType([labelled.schema[stratum], T.StructField("step", T.IntegerType())])
 
@@ -209,7 +211,9 @@ def thresholds(labelled: DataFrame, stratum: str = "stratum", risk: float = RISK
             found = [last_held(k, n, risk, level) for k, n in zip(batch.column("lost").to_pylist(), batch.column("n").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(stratum), pa.array(found, pa.int32())], last.names)
 
-    return path.join(tested.mapInArrow(run, last), [stratum, "step"]).drop("step")
+    out = materialize(path.join(tested.mapInArrow(run, last), [stratum, "step"]).drop("step"), "cutoffs")
+    discard(held_table, sizes, path)
+    return out
 
 
 def judged(docs: DataFrame, labels: DataFrame | None, keep: list[str], id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", risk: float = RISK, delta: float = DELTA) -> DataFrame:
@@ -217,23 +221,23 @@ def judged(docs: DataFrame, labels: DataFrame | None, keep: list[str], id_col: s
 
     Null text has no word and fails the base rule. A null stratum is one of its own. Rows that repeat an
     id share its label, and labels of unknown documents are not used; a document labelled both ways is no
-    good one. Without labels only the base rule holds. An empty table gives an empty result.
+    good one. Without labels only the base rule holds. Columns may have any names. An empty table gives an empty result.
     """
-    inner = docs.select(*[docs[f"`{c}`"] for c in keep], docs[f"`{id_col}`"].alias("__id"), docs[f"`{stratum_col}`"].cast("string").alias("__stratum"), docs[f"`{text_col}`"].alias("__text"))
-    counts = counted(inner, [*keep, "__id", "__stratum"], "__text").select("row", F.coalesce("row.__stratum", F.lit("")).alias("stratum"), *COUNTS).withColumn("base_failed", _base_failed())
-    counts = materialize(counts, "counts")
+    row = F.struct(*[docs[f"`{c}`"] for c in keep])
+    source = docs.select(row.alias("row"), docs[f"`{id_col}`"].alias("id"), F.coalesce(docs[f"`{stratum_col}`"].cast("string"), F.lit("")).alias("stratum"), docs[f"`{text_col}`"].cast("string").alias("text"))
+    counts = materialize(counted(source).withColumn("base_failed", _base_failed()), "counts")
     if labels is not None:
-        good = labels.groupBy(F.col(id_col).alias("__id")).agg(F.min("quality").alias("quality")).where("quality = 1").select("__id")
-        sample = counts.select(F.col("row.__id").alias("__id"), "stratum", *COUNTS).join(good, "__id", "left_semi")
-        cut = thresholds(sample, "stratum", risk, delta)
-        counts = counts.join(cut, "stratum", "left")
+        good = labels.groupBy(F.col(id_col).alias("id")).agg(F.min("quality").alias("quality")).where("quality = 1").select("id")
+        sample = counts.select("id", "stratum", *COUNTS).join(good, "id", "left_semi")
+        # the rows, with their texts, stay where they are: a stratum may hold most of them
+        counts = counts.join(hinted(thresholds(sample, "stratum", risk, delta)), "stratum", "left")
     else:
         counts = counts.select("*", *[F.lit(None).cast("double").alias(name) for name, _, _ in RULES])
     passes = [F.coalesce(_ratio(a, b) <= F.col(name), F.lit(True)) for name, a, b in RULES]
     kept = ~F.col("base_failed")
     for p in passes:
         kept = kept & p
-    return counts.select(F.struct(*[F.col(f"row.`{c}`") for c in keep]).alias("row"), *COUNTS, "base_failed", kept.alias("kept"))
+    return counts.select("row", *COUNTS, "base_failed", kept.alias("kept"))
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
