@@ -6,8 +6,8 @@ sum-of-squares rule (Csirik et al., "On the sum-of-squares algorithm for bin pac
 goes where the sum, over residual gaps, of the squared number of open bins with that gap becomes
 smallest.
 
-The pieces are dealt over shards by a hash, so no task holds them all; the number of shards follows
-the number of pieces. Within a shard pieces come longest first, which makes the rule an offline one
+The pieces are dealt over shards by a hash of a running number, so no task holds them all, however many are
+alike; the number of shards follows the number of pieces. Within a shard pieces come longest first, which makes the rule an offline one
 and leaves the small pieces to close the gaps.
 """
 
@@ -24,15 +24,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tilewright.llm.words import slices
+from tilewright.llm.words import give_back, slices
 from tilewright.storage import materialize
 
 #: Pieces that one shard packs.
 SHARD_PIECES = 16_384
-#: Pieces of words whose ids a worker remembers; it forgets all when there are more.
-PIECE_CACHE = 800_000
+#: Bytes, about, of the memory in which a worker keeps the ids of pieces of words; it forgets all when there are more.
+CACHE_BYTES = 48 << 20
 #: Texts are tokenized in slices of about so many bytes.
-TEXT_SLICE = 16 << 20
+TEXT_SLICE = 2 << 20
+#: Bytes that an entry of the memory takes besides its letters and ids.
+_ENTRY = 180
 #: Letters whose NFC form is themselves and whose lower case is one letter of this set.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: Printable ASCII but letters, digits, white space and the apostrophe, which starts contractions.
@@ -65,6 +67,7 @@ class WordTokenizer:
         self.pieces = re.compile(rf"[{_LETTERS}]+|[0-9]|[{_MARKS}]+")
         self.bytes = self._byte_letters()
         self.known: dict[str, bytes] = {}
+        self.held = 0
 
     def _splits(self) -> bool:
         """Does the file split and lower-case as this class takes it to?"""
@@ -97,12 +100,17 @@ class WordTokenizer:
                 self.known[p] = data[4 * a : 4 * b]
 
     def _of_pieces(self, pieces: list[str]) -> list[bytes]:
-        if len(self.known) > PIECE_CACHE:
-            self.known = {}
+        if self.held > CACHE_BYTES:
+            self.forget()
         known = self.known
-        self._learn_pieces([p for p in pieces if p not in known])
+        new = [p for p in pieces if p not in known]
+        self._learn_pieces(new)
+        self.held += sum(_ENTRY + len(p) + len(known[p]) for p in new)
         return [known[p] for p in pieces]
 
+    def forget(self) -> None:
+        self.known, self.held = {}, 0
+
     def _of_words(self, words: list[str]) -> list[bytes]:
         split = {w: self.pieces.findall(w.lower()) for w in words if self.plain.match(w) and not any(s in w for s in self.special)}
         pieces = list({p for x in split.values() for p in x})
@@ -166,6 +174,7 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: int = 0,
                 last = start + size == n[row]
                 crc = [zlib.crc32(end, x) if z else x for x, z in zip((zlib.crc32(data[a:b]) for a, b in zip((4 * (offsets[row] + start)).tolist(), (4 * (offsets[row] + start + size - last)).tolist())), last.tolist())]
                 yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(size), pa.array(np.array(crc, dtype=np.int64))], schema.names)
+        give_back()
 
     return source.mapInArrow(run, schema)
 
@@ -220,10 +229,9 @@ def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
 
 
 def pack(table: DataFrame, capacity: int = 2048, shard_pieces: int = SHARD_PIECES) -> DataFrame:
-    """``table`` of pieces (a ``length`` column, at most ``capacity``) with sequence_id and offset."""
+    """``table`` of pieces (a ``length`` column, at most ``capacity``; materialized) with sequence_id and offset."""
     shards = max(1, -(-table.count() // shard_pieces))
-    keys = F.xxhash64(*[F.col(c) for c in table.columns])
-    dealt = table.withColumn("__shard", F.pmod(keys, F.lit(shards)))
+    dealt = table.withColumn("__shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)))
     schema = T.StructType([*table.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     names = table.columns
 
