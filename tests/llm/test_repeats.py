@@ -74,3 +74,21 @@ def test_rows_of_all_kinds(spark):
     kept = [r["text"] for r in out.where("doc_id = 1 or doc_id is null").collect()]
     assert sorted(kept) == ["", "", "", "short"]
     assert R.digest(df.limit(0)).count() == 0
+
+
+def test_texts_without_id_whose_short_hashes_collide(spark):
+    """Two equal texts, and another whose 32-bit hash is theirs: only the two lose anything."""
+    made = spark.range(200_000).select(F.concat_ws(" ", *[F.md5(F.concat(F.col("id").cast("string"), F.lit(f"-{k}"))) for k in range(8)]).alias("t"))
+    pair = made.groupBy(F.hash("t").alias("h")).agg(F.collect_list("t").alias("ts")).where(F.size("ts") > 1).first()["ts"][:2]
+    rows = [(None, pair[0]), (None, pair[0]), (None, pair[1])]
+    got = R.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(tuple(r[1:]) for r in got) == sorted(brute([t for _, t in rows]))
+
+
+def test_long_texts_and_string_ids(spark):
+    rng = np.random.default_rng(2)
+    long = rng.choice(np.frombuffer(b"abcdefgh ", np.uint8), 3_000_000).tobytes().decode()
+    passage = long[1_000_000:1_000_400]
+    df = spark.createDataFrame([("a", long), ("b", "x" + passage), (None, "short")], "doc_id string, text string")
+    got = {r["doc_id"]: (r["n_removed"], r["n_spans"]) for r in R.digest(df).collect()}
+    assert got == {"a": (400, 1), "b": (400, 1), None: (0, 0)}

@@ -51,7 +51,9 @@ def test_rules_keep_good_and_drop_bad(spark):
     good = [(i, " ".join(word() for _ in range(80)), "en") for i in range(3000)]
     bad = [(5000 + i, " ".join(word() + "###" for _ in range(80)), "en") for i in range(50)]
     rows = good + bad + [(9001, None, "en"), (9002, "few words", None), (None, good[0][1], "fr"), good[0]]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("kept", F.lit("clash")).withColumn("stratum", F.lit(1)).withColumn("n_words", F.lit(1))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for name in ("kept", "stratum", "n_words", "__id", "__stratum", "__text", "id", "row"):
+        docs = docs.withColumn(name, F.lit("clash"))
     labels = spark.createDataFrame([(i, 1) for i in range(3000)] + [(5000, 0)], "doc_id long, quality int")
     kept = quality.only_good(docs, labels)
     ids = [r["doc_id"] for r in kept.collect()]
@@ -137,6 +139,12 @@ def test_packing(spark):
     assert packing.packed(docs.limit(0), "word_bpe_49k.json").count() == 0
 
 
+def test_equal_rows_are_spread_over_the_shards(spark):
+    table = spark.createDataFrame([(None, 0, 0, 500, 7)] * 3000, "id long, piece int, start long, length long, ids_crc32 long")
+    got = packing.pack(table, shard_pieces=100).groupBy((F.col("sequence_id") / (1 << 40)).cast("int").alias("shard")).count().collect()
+    assert len(got) == 30 and max(r["count"] for r in got) < 160
+
+
 def test_mixing(spark):
     rows = [(i, "w " * (1 + i % 7), f"s{i % 5}") for i in range(2000)] + [(9000, "w " * 5, None), (None, None, "s0"), (9001, "", "t")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("size", F.lit("clash")).withColumn("target", F.lit(1))

@@ -32,8 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tilewright.llm.words import flat_bytes, slices
-from tilewright.storage import discard, materialize
+from tilewright.llm.words import flat_bytes, give_back, slices
+from tilewright.storage import discard, hinted, materialize
 
 #: Bytes of an anchor.
 GRAM = 48
@@ -41,6 +41,8 @@ GRAM = 48
 GROUP_WINDOWS = 4096
 #: Bytes of text that anchors are sought in at once: the arrays for it stay in a processor's cache.
 ANCHOR_SLICE = 1 << 18
+#: Bytes of text that windows are cut from at once.
+WINDOW_SLICE = 1 << 20
 #: Bytes of windows that one index takes, at the end of the group that passes it, likewise.
 INDEX_BYTES = 1 << 18
 
@@ -190,6 +192,15 @@ def runs_of(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
+#: Pivots, of some hundred bytes each, that are broadcast.
+PIVOT_ROWS = 50_000
+
+
+def _together(tables: list[DataFrame]) -> DataFrame:
+    """Tables of one schema that :func:`materialize` made, as one scan."""
+    return tables[0].sparkSession.read.schema(tables[0].schema).parquet(*[t._tilewright_path for t in tables])
+
+
 _RANGE = "did long, tid int, a int, b int"
 _WINDOW = "key long, lo int, hi int, did long, tid int, start int, at int, window binary"
 
@@ -201,9 +212,10 @@ class Repeats:
         if not 16 <= gram <= length or gram % 16:
             raise ValueError("gram must be a multiple of 16, at most length")
         self.length, self.gram, self.reach = length, gram, length - gram
-        kind = docs.schema[id_col].dataType
-        did = F.coalesce(F.col(id_col).cast("long"), F.lit(-1)) if isinstance(kind, T.IntegralType) else F.xxhash64(id_col)
-        self.docs = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), did.alias("did"), F.coalesce(F.hash(F.col(text_col)), F.lit(0)).alias("tid"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+        text = F.coalesce(docs[f"`{text_col}`"].cast("string"), F.lit(""))
+        # 96 bits of two hashes of id and text tell documents apart, those without an id too
+        did, tid = (f(docs[f"`{id_col}`"], text) for f in (F.xxhash64, F.hash))
+        self.docs = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), did.alias("did"), tid.alias("tid"), text.alias("text"))
         self.texts = self.docs.select("did", "tid", "text")
 
     def anchors(self) -> DataFrame:
@@ -230,10 +242,14 @@ class Repeats:
         length, reach = self.length, self.reach
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            before = None
             for batch in batches:
-                for part in slices(batch, "text"):
+                for part in slices(batch, "text", WINDOW_SLICE):
                     out: list[list] = [[] for _ in range(8)]
                     for did, tid, text, ps in zip(*(part.column(c).to_pylist() for c in ("did", "tid", "text", "at"))):
+                        if (did, tid) == before:  # a repeated row: its windows are there
+                            continue
+                        before = did, tid
                         raw = text.encode("utf-8", "surrogatepass")
                         for x in ps:
                             p, a = x["p"], max(0, x["p"] - reach)
@@ -241,6 +257,7 @@ class Repeats:
                                 col.append(v)
                     kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["key", "lo", "hi", "did", "tid", "start", "at", "window"])
+            give_back()
 
         return self.texts.join(wanted, ["did", "tid"]).mapInArrow(run, _WINDOW)
 
@@ -259,25 +276,32 @@ class Repeats:
 
     def indexed(self, windows: DataFrame) -> DataFrame:
         """Ranges that matches between distinct windows of one key cover."""
-        table = materialize(windows, "contexts")
-        parts = []
-        while True:
-            hot = table.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > GROUP_WINDOWS).select("key")
-            hot = materialize(hot, "hot")
+        table = contexts = materialize(windows, "contexts")
+        split_off, cold, found = None, [], []
+        while True:  # each round a group's windows agree in more bytes around the anchor, so their length bounds the rounds
+            sizes = table.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > GROUP_WINDOWS).select("key")
+            hot = materialize(sizes, "hot")
             if hot.isEmpty():
-                parts.append(self._match(table))
                 break
-            parts.append(self._match(table.join(hot, "key", "left_anti")))
-            large = table.join(hot, "key", "left_semi")
+            large = table.join(hinted(hot), "key", "left_semi")
             one = F.min(F.struct(F.xxhash64("did", "tid", "start").alias("by"), F.struct("did", "tid", "start", "at", "window").alias("pivot")))
             pivots = materialize(large.groupBy("key").agg(one.alias("one")).select("key", "one.pivot"), "pivots")
-            split = materialize(self._against(table.join(pivots, "key")), "split")
-            parts.append(split.where("window is null").select("did", "tid", F.col("lo").alias("a"), F.col("hi").alias("b")))
-            table = split.where("window is not null")
-        out = parts[0]
-        for x in parts[1:]:
-            out = out.unionByName(x)
-        return out
+            split = materialize(self._against(table.join(hinted(pivots, PIVOT_ROWS), "key")), "split")
+            discard(pivots)
+            if split_off is None:
+                split_off = hot
+            else:
+                cold.append(materialize(table.join(hinted(hot), "key", "left_anti"), "cold"))
+                discard(before, hot)
+            found.append(materialize(split.where("window is null").select("did", "tid", F.col("lo").alias("a"), F.col("hi").alias("b")), "found"))
+            table, before = split.where("window is not null"), split
+        first = contexts if split_off is None else contexts.join(hinted(split_off), "key", "left_anti")
+        if split_off is None:
+            return self._match(first)
+        # however many rounds there were, what they left is one scan
+        groups = _together([*cold, materialize(table, "cold")])
+        discard(before)
+        return self._match(first.unionByName(groups)).unionByName(_together(found))
 
     def _against(self, large: DataFrame) -> DataFrame:
         """Compare each window with its key's pivot, as multikey quicksort does.
@@ -369,6 +393,7 @@ class Repeats:
                 size += int(weight[-1] - (weight[done - 1] if done else 0))
             if held:
                 yield mark(pa.Table.from_batches(held))
+            give_back()
 
         several = table.select("key", "did", "tid", "start", "window").repartition("key").sortWithinPartitions("key")
         return several.mapInArrow(run, _RANGE)
