@@ -264,6 +264,79 @@ def test_main_text(spark):
     assert maintext.extract(df.limit(0), field=field).count() == 0
 
 
+def plain_blocks(page):
+    """Texts of leaf blocks by the standard parser, for pages whose tags are closed or are p and li."""
+    from html.parser import HTMLParser
+
+    class Parser(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.out, self.held = [], []
+
+        def cut(self):
+            text = " ".join("".join(self.held).split())
+            self.out += [text] * bool(text)
+            self.held = []
+
+        def handle_starttag(self, tag, attrs):
+            if tag == "br":
+                self.held.append(" ")
+            elif tag not in ("a", "b", "i", "span", "em"):
+                self.cut()
+
+        def handle_endtag(self, tag):
+            if tag not in ("a", "b", "i", "span", "em"):
+                self.cut()
+
+        def handle_data(self, data):
+            self.held.append(data)
+
+    p = Parser()
+    p.feed(page)
+    p.close()
+    p.cut()
+    return p.out
+
+
+def test_blocks_equal_a_plain_parser():
+    for page, labels in maintext.labelled_pages(200, 5):
+        got = [b[0] for b in maintext.blocks(page)]
+        assert got == plain_blocks(page) and len(got) == len(labels)
+
+
+def test_paths_follow_what_tags_close():
+    page = "<div class=a><p>one<p>two<div id='b'>three</div><ul><li>x<li>y<ul><li>z</ul><li>w</ul></i></nope><table><tr><td>1<td>2<tr><td>3</table></div>tail<i><section>in</i>s</section>"
+    paths = [(b[0], ">".join(n.tag for n in b[1].path()) if b[1] else "") for b in maintext.blocks(page)]
+    assert paths == [("one", "div>p"), ("two", "div>p"), ("three", "div>div"), ("x", "div>ul>li"), ("y", "div>ul>li"), ("z", "div>ul>li>ul>li"), ("w", "div>ul>li"), ("1", "div>table>tr>td"), ("2", "div>table>tr>td"), ("3", "div>table>tr>td"), ("tail", ""), ("ins", "section")]
+
+
+def test_character_references_of_any_size():
+    page = f"<p>&#65;&#0000000000066;&#x000000043;&#{'9' * 9000};&#x{'f' * 50};&eacute;&amp;lt;"
+    assert maintext.blocks(page)[0][0] == "ABC\ufffd\ufffdé&lt;"
+
+
+@pytest.mark.parametrize("page", ["<div>word " * 500_000, "<script " * 600_000, "<div class='c" * 400_000, '<a "x>y" ' * 500_000 + '"', "<b>" * 800_000 + "</i>" * 800_000, "</x><p>" * 600_000, "<i><div>" + "<b>" * 600_000 + "</i>" * 600_000, "".join(f"<div class=w{i}>t" for i in range(250_000)), "</script " * 500_000 + "<script>" * 3, "<" * 5_000_000, "<!--" * 1_000_000, "<a<a" * 1_000_000])
+def test_time_is_linear_in_the_page(page):
+    import time
+
+    field = maintext.trained_field(40)
+    before = time.process_time()
+    maintext.main_text(page, field)
+    assert time.process_time() - before < 25, len(page)
+
+
+def test_layouts_that_the_generator_does_not_make():
+    field = maintext.trained_field()
+    body = "This long paragraph tells what happened in the town last week, and who was there to see it."
+    pages = [
+        f'<body><div id="wrapper"><div class="topbar"><a href="/">Home</a> <a href="/a">About</a></div><div role="main"><h1>Title of it</h1><p>{body}</p><p>{body}</p></div><div class="footer">&copy; 2020 Us</div></div>',
+        f'<table><tr><td><ul class="nav"><li><a href="/1">One</a><li><a href="/2">Two</a></ul></td><td class="content"><h2>Title of it</h2><p>{body}<p>{body}</td></tr></table><footer><p>Imprint</p></footer>',
+        f'<header class="site-header"><h2><a href="/">Site</a></h2></header><main><h1>Title of it</h1><p>{body}</p><aside class="related"><h4>More</h4><ul><li><a href="/x">Other</a></li></ul></aside><p>{body}</p></main><section id="comments"><div class="comment"><p>Nice one.</p></div></section>',
+    ]
+    for page in pages:
+        assert maintext.main_text(page, field) == f"Title of it\n{body}\n{body}", page
+
+
 def test_likelihood_gradient_is_right():
     field = maintext.BlockField()
     rng = np.random.default_rng(0)

@@ -21,12 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tilewright.llm.words import slices
+from tilewright.llm.words import give_back, slices
 
 #: Labelled pages that the field is trained on, and passes over them.
 TRAINING_PAGES, EPOCHS = 400, 6
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>", re.S)
+_OPEN = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][^\s/>]*)|/)")
+_SPECIAL = re.compile(r"[>\"']")
+_NUMBER = re.compile(r"&#(?:[0-9]{8,}|[xX][0-9a-fA-F]{8,});?")
 _ATTR = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _TOKEN = re.compile(r"[a-z]+")
 _SENTENCE = re.compile(r"[.!?](?: |$)")
@@ -39,105 +41,181 @@ _RAW = frozenset("script style textarea title iframe noscript".split())
 _CLOSES = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 _P_STAYS = _INLINE | _VOID - {"hr"}
 
-Block = tuple[str, tuple, int, str]
+
+
+class Node:
+    """A block-level element: its tag, the words of its attributes, and the element around it."""
+
+    __slots__ = ("tag", "words", "above", "scored")
+
+    def __init__(self, tag: str, words: tuple[str, ...], above: Node | None):
+        self.tag, self.words, self.above = tag, words, above
+        self.scored = None  # set by BlockField
+
+    def path(self) -> list[Node]:
+        """The node and those around it, from the outside in."""
+        out, node = [], self
+        while node is not None:
+            out.append(node)
+            node = node.above
+        return out[::-1]
+
+
+#: Text, innermost element, linked characters.
+Block = tuple[str, Node | None, int]
+
+
+class _Page:
+    """Where the tags of a page end, in time linear in its length however broken it is."""
+
+    def __init__(self, page: str):
+        self.page, self.last = page, page.rfind(">")
+        self.memo: dict[int, int] = {}
+
+    def tag_end(self, at: int) -> int:
+        """The place of the ``>`` that ends a tag whose attributes begin at ``at``: the first outside quotes or, where
+        quotes leave none, the first. There is one, for ``at`` is not behind the last."""
+        page, memo, seen = self.page, self.memo, []
+        first = m = _SPECIAL.search(page, at)
+        end = -1
+        while m:
+            c = m.start()
+            if c in memo:
+                end = memo[c]
+                break
+            seen.append(c)
+            if page[c] == ">":
+                end = c
+                break
+            close = page.find(page[c], c + 1)
+            m = _SPECIAL.search(page, close + 1) if close >= 0 else None
+        for c in seen:  # each quote is followed once
+            memo[c] = end
+        return end if end >= 0 else page.find(">", first.start())
+
+
+def _unescaped(text: str) -> str:
+    """Character references decoded; a number beyond all characters, of any length, is U+FFFD."""
+
+    def number(m: re.Match) -> str:
+        digits = m[0].rstrip(";")[2:]
+        kind = digits[:1] if digits[0] in "xX" else ""
+        digits = digits[len(kind) :].lstrip("0")
+        return "\ufffd" if len(digits) > 7 else f"&#{kind}{digits or 0};"
+
+    return html.unescape(_NUMBER.sub(number, text) if "&#" in text else text)
 
 
 def blocks(page: str) -> list[Block]:
-    """Leaf blocks in page order: text, ancestors (tag, words) from the outside in, linked characters, tag."""
+    """Leaf blocks in page order. What closes what is found by the places of open tags, never by going through them."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[tuple[str, Node | None]] = []
+    places: dict[str, list[int]] = {}  # of each open tag in the stack
+    outer: list[int] = []  # places of block-level elements
     held: list[str] = []
-    linked, anchors, hidden = 0, 0, 0
-    at, end = 0, len(page)
+    linked, hidden = 0, 0
+    at, end, seen = 0, len(page), _Page(page)
 
     def flush() -> None:
         nonlocal linked
         if held:
-            text = " ".join(html.unescape("".join(held)).split())
+            text = " ".join(_unescaped("".join(held)).split())
             if text:
-                path = tuple(x for x in stack if x[0] not in _INLINE)
-                out.append((text, path, min(linked, len(text)), path[-1][0] if path else ""))
+                out.append((text, stack[outer[-1]][1] if outer else None, min(linked, len(text))))
             held.clear()
         linked = 0
 
     def leave(k: int) -> None:
-        nonlocal anchors, hidden
-        for tag, _ in stack[k:]:
-            anchors -= tag == "a"
+        nonlocal hidden
+        while len(stack) > k:
+            tag, node = stack.pop()
+            places[tag].pop()
+            if node is not None:
+                outer.pop()
             hidden -= tag in _HIDDEN
-        del stack[k:]
+
+    def last(tags) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=-1)
 
     def text(s: str) -> None:
         nonlocal linked
         if s and not hidden:
             held.append(s)
-            if anchors:
+            if places.get("a"):
                 linked += len(s)
 
     while at < end:
-        m = _TAG.search(page, at)
-        if not m:
+        m = _OPEN.search(page, at)
+        if not m or m.start() > seen.last and not page.startswith("<!--", m.start()):
             text(page[at:])
             break
         text(page[at : m.start()])
-        at = m.end()
-        name = m[2] or m[5]
-        if not name:
+        if m[0] == "<!--":
+            close = page.find("-->", m.end())
+            at = close + 3 if close >= 0 else end
+            continue
+        if not m[2]:  # a declaration, or a closing tag without a name
+            at = page.find(">", m.end()) + 1
+            if not at:
+                break
             continue
-        name, closing = name.lower(), bool(m[1] or m[4])
+        if m.end() > seen.last:
+            text(page[m.start() :])
+            break
+        stop = seen.tag_end(m.end())
+        attributes, at = page[m.end() : stop], stop + 1
+        name, closing = m[2].lower(), bool(m[1])
         if name not in _INLINE:
             flush()
         elif name == "br":
             held.append(" ")
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    leave(k)
-                    break
-                if name in _INLINE and stack[k][0] not in _INLINE:
-                    break
+            k = last((name,))
+            if k >= 0 and (name not in _INLINE or not outer or k > outer[-1]):
+                leave(k)
             continue
         if name in _VOID:
             continue
-        attributes = m[3] or m[6] or ""
         if name in _RAW:
-            close = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
+            close = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at, seen.last + 1)
             at = close.end() if close else end
             continue
-        if name not in _P_STAYS:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "p":
-                    leave(k)
-                    break
-                if stack[k][0] not in _INLINE:
-                    break
+        if name not in _P_STAYS and outer and stack[outer[-1]][0] == "p":
+            leave(outer[-1])
         if name in _CLOSES:
             shut, bound = _CLOSES[name]
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in shut:
-                    leave(k)
-                    break
-                if stack[k][0] in bound:
-                    break
+            floor = last(bound)
+            k = min((places[t][-1] for t in shut if places.get(t) and places[t][-1] > floor), default=-1)
+            if k >= 0:
+                leave(k)
         if name == "body":
             leave(0)
         if attributes.rstrip().endswith("/") and name not in ("p", "div", "a"):
             continue
-        words = tuple(t for a in _ATTR.findall(attributes) for t in _TOKEN.findall("".join(a).lower())) if attributes else ()
-        stack.append((name, words))
-        anchors += name == "a"
+        places.setdefault(name, []).append(len(stack))
         hidden += name in _HIDDEN
+        if name in _INLINE:
+            stack.append((name, None))
+        else:
+            words = tuple(t for a in _ATTR.findall(attributes) for t in _TOKEN.findall("".join(a).lower())) if attributes else ()
+            node = Node(name, words, stack[outer[-1]][1] if outer else None)
+            outer.append(len(stack))
+            stack.append((name, node))
     flush()
     return out
 
 
-def _path_features(path: tuple) -> list[str]:
-    tags = [t for t, _ in path]
-    out = {f"in:{t}" for t in tags} | {f"word:{w}" for _, words in path for w in words}
-    if tags:
-        out.add(f"leaf:{tags[-1]}")
-        out.add(f"pair:{tags[-2] if len(tags) > 1 else ''}>{tags[-1]}")
-    return sorted(out)
+def _around(node: Node) -> list[str]:
+    """Features of an element that hold for all within it."""
+    return [f"in:{node.tag}", *(f"word:{w}" for w in node.words)]
+
+
+def _innermost(node: Node) -> list[str]:
+    return [f"leaf:{node.tag}", f"pair:{node.above.tag if node.above else ''}>{node.tag}"]
+
+
+def _path_features(node: Node | None) -> list[str]:
+    return sorted({x for n in node.path() for x in _around(n)} | {*_innermost(node)}) if node else []
 
 
 def _text_features(text: str, linked: int, k: int, n: int) -> list[str]:
@@ -162,29 +240,52 @@ class BlockField:
         self.index: dict[str, int] = {}
         self.weight = np.zeros((0, 2))
         self.step = np.zeros((2, 2))
-        self._memo: dict[tuple, np.ndarray] = {}
+        self._memo: dict[tuple, tuple] = {}
+        self._sets = 0
 
     def _ids(self, sequence: list[Block], grow: bool = False) -> list[list[int]]:
         out = []
-        for k, (text, path, linked, _) in enumerate(sequence):
-            names = _path_features(path) + _text_features(text, linked, k, len(sequence))
+        for k, (text, node, linked) in enumerate(sequence):
+            names = _path_features(node) + _text_features(text, linked, k, len(sequence))
             if grow:
                 out.append([self.index.setdefault(x, len(self.index)) for x in names])
             else:
                 out.append([self.index[x] for x in names if x in self.index])
         return out
 
+    def _of_node(self, node: Node | None) -> np.ndarray | float:
+        """The score of an element's own and its ancestors' features.
+
+        Elements share the set of the one around them unless they add a feature that the field knows, so depth
+        costs nothing; elements of the same kind in the same place, on other pages too, are scored once.
+        """
+        if node is None:
+            return 0.0
+        todo, last = [], node
+        while node is not None and node.scored is None:
+            todo.append(node)
+            node = node.above
+        index, weight, memo = self.index, self.weight, self._memo
+        for node in reversed(todo):
+            number, known, base, _ = node.above.scored if node.above else (0, frozenset(), np.zeros(2), None)
+            key = number, node.above.tag if node.above else "", node.tag, node.words
+            node.scored = memo.get(key)
+            if node.scored is None:
+                new = sorted({index[x] for x in _around(node) if x in index} - known)
+                if new:
+                    self._sets += 1  # a number for each set of features
+                    number, known, base = self._sets, known.union(new), base + weight[new].sum(axis=0)
+                node.scored = memo[key] = number, known, base, base + weight[[index[x] for x in _innermost(node) if x in index]].sum(axis=0)
+        return last.scored[3]
+
     def _scores(self, sequence: list[Block]) -> np.ndarray:
-        """Label scores of each block; those of ancestors are remembered by path."""
+        """Label scores of each block."""
+        if len(self._memo) > 20_000:
+            self._memo.clear()
         out = np.zeros((len(sequence), 2))
         index, weight = self.index, self.weight
-        for k, (text, path, linked, _) in enumerate(sequence):
-            own = self._memo.get(path)
-            if own is None:
-                if len(self._memo) > 20_000:
-                    self._memo.clear()
-                own = self._memo[path] = weight[[index[x] for x in _path_features(path) if x in index]].sum(axis=0)
-            out[k] = own + weight[[index[x] for x in _text_features(text, linked, k, len(sequence)) if x in index]].sum(axis=0)
+        for k, (text, node, linked) in enumerate(sequence):
+            out[k] = self._of_node(node) + weight[[index[x] for x in _text_features(text, linked, k, len(sequence)) if x in index]].sum(axis=0)
         return out
 
     def viterbi(self, scores: np.ndarray) -> list[int]:
@@ -374,5 +475,6 @@ def extract(pages: DataFrame, html_col: str = "html", field: BlockField | None =
             for part in slices(batch, "__html"):
                 texts = [main_text(p, field) for p in part.column(len(rest)).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(rest))), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], schema.names)
+        give_back()
 
     return source.mapInArrow(run, schema)
