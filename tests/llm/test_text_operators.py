@@ -237,6 +237,66 @@ def test_url_models_tell_held_out_urls_apart(spark):
     assert len(got) == 200 and right > 190
 
 
+def plain_url_scores(urls):
+    """Scores and cutoff worked out symbol by symbol, in plain Python."""
+    import math
+
+    import xxhash
+
+    def codes(url):
+        text = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*://", "", url or "").lower().translate(str.maketrans("123456789", "000000000"))
+        return [0, 0, 0] + [urlfilter.ALPHABET.find(c) + 1 for c in text]
+
+    def rule(url):
+        m = re.search(r"://([^/?#]*)([^?#]*)", url or "")
+        host, path = (m[1].lower(), m[2]) if m else ("", "")
+        fits = [(len(r), v) for v, r in urlfilter.RULES if (host == r.split("/")[0] or host.endswith("." + r.split("/")[0])) and path.startswith("/" + r.partition("/")[2])]
+        return max(fits)[1] if fits else None
+
+    held = lambda u: xxhash.xxh64_intdigest(u.encode(), 42) % (1 << 64) - (1 << 64) * (xxhash.xxh64_intdigest(u.encode(), 42) >> 63)
+    seen = {"allow": Counter(), "block": Counter()}
+    for u in urls:
+        if rule(u) and held(u) % urlfilter.HOLDOUT:
+            c = codes(u)
+            for i in range(3, len(c)):
+                for k in range(1, 5):
+                    seen[rule(u)][tuple(c[i - k + 1 : i + 1])] += 1
+                    seen[rule(u)][("context", *c[i - k + 1 : i])] += 1
+    total = {v: sum(n for x, n in seen[v].items() if x[0] != "context" and len(x) == 4) for v in seen}
+    factor = {v: min(total.values()) / total[v] for v in seen}
+
+    def p(v, last):
+        if not last:
+            return 1 / 32
+        return (seen[v][tuple(last)] * factor[v] + 4 * p(v, last[1:])) / (seen[v][("context", *last[:-1])] * factor[v] + 4)
+
+    def score(u):
+        c = codes(u)
+        return sum(math.log(p("allow", c[i - 3 : i + 1]) / p("block", c[i - 3 : i + 1])) for i in range(3, len(c))) / (len(c) - 3) if len(c) > 3 else 0.0
+
+    return [score(u) if u else 0.0 for u in urls]
+
+
+def test_url_scores_equal_plain_python(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcuvw19-é") for _ in range(rng.randint(0, 9)))
+    urls = [f"{rng.choice(('http', 'https'))}://{word()}.{rng.choice(('org', 'com', 'net'))}/{rng.choice(('de', 'fr', 'en'))}/{word()}?{word()}" for _ in range(300)] + [None, "", "abc", "://"]
+    urls += urls[:20]
+    got = urlfilter.judged(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).select("row.page_id", "score").orderBy("page_id").collect()
+    assert [r["score"] for r in got] == pytest.approx(plain_url_scores(urls), abs=1e-9)
+
+
+def test_long_urls(spark):
+    import time
+
+    urls = [f"http://a{i}.org/x" for i in range(50)] + [f"http://b{i}.com/de/y" for i in range(50)]
+    long = "http://c.net/" + "path-seg/" * 23_000
+    before = time.time()
+    got = urlfilter.digest(spark.createDataFrame(list(enumerate([*urls, long, long, long + "x"])), "page_id long, url string")).collect()
+    assert len(got) == 103 and len({r["score"] for r in got if r["page_id"] in (100, 101)}) == 1
+    assert time.time() - before < 60
+
+
 def test_grams_equal_plain_python(spark):
     url = "http://Ab1.org/x-é?"
     text = "ab0.org/x-é?"

@@ -66,10 +66,15 @@ def grams(codes: Column) -> Column:
     return F.transform(places, lambda i: F.get(codes, i) * SIZE**3 + F.get(codes, i + 1) * SIZE**2 + F.get(codes, i + 2) * SIZE + F.get(codes, i + 3))
 
 
+def url_key() -> list[Column]:
+    """128 bits that stand for ``url`` wherever a row for each of its characters would carry it."""
+    return [F.xxhash64("url").alias("k1"), F.xxhash64(F.lit(1), "url").alias("k2")]
+
+
 def exploded(urls: DataFrame) -> DataFrame:
-    """A row for each character of ``url``, with its gram."""
+    """A row for each character of ``url``, with its gram in place of the url."""
     # the generator keeps the symbols from being worked out anew for each gram
-    coded = urls.withColumn("codes", F.explode(F.array(symbols(F.col("url"))))).withColumn("grams", grams(F.col("codes"))).drop("codes")
+    coded = urls.withColumn("codes", F.explode(F.array(symbols(F.col("url"))))).drop("url").withColumn("grams", grams(F.col("codes"))).drop("codes")
     return coded.withColumn("gram", F.explode("grams")).drop("grams").withColumn("gram", F.col("gram").cast("long"))
 
 
@@ -110,15 +115,15 @@ def model(counts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def scores(urls: DataFrame, counts: DataFrame) -> DataFrame:
-    """``(url, score)`` for each distinct non-null url that has a character behind its scheme."""
+    """``(k1, k2, score)`` for each distinct non-null url that has a character behind its scheme."""
     seen, short, context = model(counts)
-    each = exploded(urls.where("url is not null"))
+    each = exploded(urls.where("url is not null").select(*url_key(), "url"))
     each = each.join(F.broadcast(seen), "gram", "left")  # at most 32^4 rows
     each = each.withColumn("short", F.col("gram") % SIZE ** (ORDER - 1)).join(F.broadcast(short), "short", "left")
     each = each.withColumn("context", F.floor(F.col("gram") / SIZE)).join(F.broadcast(context), "context", "left")
     value = F.coalesce("value", F.coalesce("short_value", F.lit(0.0)) + F.coalesce("context_value", F.lit(0.0)))
     # characters of one url are neighbours, so the map side leaves one row for each; repeated urls sum to the same mean
-    return each.groupBy("url").agg(F.avg(value).alias("score"))
+    return each.groupBy("k1", "k2").agg(F.avg(value).alias("score"))
 
 
 def judged(pages: DataFrame, url_col: str = "url", rules: tuple = RULES) -> DataFrame:
@@ -142,7 +147,7 @@ def judged(pages: DataFrame, url_col: str = "url", rules: tuple = RULES) -> Data
     least = min(good, bad)
     counts = counts.select("gram", *[(F.col(x) * F.lit(least / max(n, 1))).alias(x) for x, n in (("good", good), ("bad", bad))]).where(F.lit(both))
     table = materialize(scores(source.select("url"), counts), "url-scores")
-    scored = rows.join(table, "url", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    scored = rows.withColumns(dict(zip(("k1", "k2"), url_key()))).join(table, ["k1", "k2"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
     cut = _cutoff(scored.where("rule is not null").where(held).select("by_rule", F.floor(F.greatest(F.lit(-LIMIT), F.least(F.lit(LIMIT), F.col("score"))) / BIN).alias("bin"))) if both else 0.0
     final = F.coalesce(F.col("by_rule"), F.when(F.col("score") >= cut, "allow").otherwise("block"))
     return scored.select("row", "host", "path", "rule", "score", final.alias("verdict"))
