@@ -208,10 +208,88 @@ def test_fingerprints_with_null_and_repeated_ids(spark):
     assert alone["near_next"] == 1.0 and alone["edited_sha256"] == hashlib.sha256(b"hello worhe").hexdigest()
 
 
+def plain_tree(text):
+    """The tree in plain Python: sections and paragraphs as (hash, children), and leaves."""
+    import xxhash
+
+    def x(value, seed, size=8):
+        raw = value.encode() if isinstance(value, str) else (value & (1 << 8 * size) - 1).to_bytes(size, "little")
+        h = xxhash.xxh64_intdigest(raw, seed & (1 << 64) - 1)
+        return h - (1 << 64) * (h >> 63)
+
+    sections, paragraphs, leaves, open_, n = [], [], [], 0, 0
+    for line in text.split("\n"):
+        own = [x(m, 42) for m in re.findall(r"(?s)[^.!?]{1,40}+[.!?]{0,8}+|[.!?]{1,8}+", line)]
+        h = 42
+        for leaf in own:
+            h = x(leaf, h)
+        h = x(len(line), h, 4)
+        paragraphs.append((h, len(own)))
+        leaves += own
+        open_, n = x(h, x(open_, 42)), n + 1
+        if not line.strip(" ") or h % 8 == 0:
+            sections.append((open_, n))
+            open_, n = 0, 0
+    return [*sections, (open_, n)], paragraphs, leaves
+
+
+def plain_likeness(a, b):
+    """Descent in plain Python: likeness, first differing paragraph, paragraphs from it on."""
+    if a[0] == b[0]:
+        return 1.0, None, 0
+
+    def trim(x, y, below_x, below_y):
+        i = 0
+        while i < min(len(x), len(y)) and x[i][0] == y[i][0]:
+            i += 1
+        k = 0
+        while k < min(len(x), len(y)) - i and x[-1 - k][0] == y[-1 - k][0]:
+            k += 1
+        first, last = sum(n for _, n in x[:i]), sum(n for _, n in x[len(x) - k :])
+        return i, len(x) - i - k, first, below_x[first : len(below_x) - last], below_y[first : len(below_y) - last]
+
+    _, _, before, px, py = trim(a[0], b[0], a[1], b[1])
+    start = [sum(n for _, n in t[1][:before]) for t in (a, b)]
+    lx, ly = (t[2][s : s + sum(n for _, n in p)] for t, s, p in ((a, start[0], px), (b, start[1], py)))
+    i, n, _, mx, my = trim(px, py, lx, ly)
+    most = max(len(a[2]), len(b[2]))
+    both = len(a[2]) - len(mx) + len(set(mx) & set(my))
+    return (min(both, most - 0.5) / most if most else 0.0), before + i, n
+
+
+@pytest.mark.parametrize("string_ids", [False, True])
+def test_trees_equal_plain_python(spark, monkeypatch, string_ids):
+    monkeypatch.setattr(merkle, "RANGE_ROWS", 3)
+    monkeypatch.setattr(merkle, "OVERSAMPLE", 1)
+    rng = random.Random(12)
+    line = lambda: "".join(rng.choice("abcé .!?") for _ in range(rng.randint(0, 90)))
+    texts = ["\n".join(line() for _ in range(rng.randint(1, 40))) for _ in range(60)] + ["", " \n\n ", "one.\ntwo.\nthree.", "x" * 200_000, "line\n" * 20_000]
+    for k in range(0, 50, 5):  # neighbours that share most of their lines
+        part = texts[k].split("\n")
+        part[len(part) // 2] = "changed here."
+        texts[k + 1] = "\n".join(part)
+    rows = [(f"id{k:03d}" if string_ids else 3 * k, t) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, f"doc_id {'string' if string_ids else 'long'}, text string").withColumn("key", F.lit("clash")).withColumn("known", F.lit(0))
+    got = {r["doc_id"]: r for r in merkle.digest(docs).collect()}
+    for k, (i, t) in enumerate(rows):
+        after = texts[(k + 1) % len(texts)]
+        quarter = len(t) // 4
+        edited = t[: len(t) - quarter] + after[:quarter]
+        r, tree = got[i], plain_tree(t)
+        parts = r["fingerprint"].split("/")
+        hexed = lambda level: ".".join(f"{(h[0] if isinstance(h, tuple) else h) & 0xFFFFFFFF:08X}" for h in level)
+        assert parts[1:] == [hexed(tree[0]), hexed(tree[1]), hexed(tree[2])]
+        like, first, n = plain_likeness(tree, plain_tree(edited))
+        assert r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+        assert (r["near_edited"], r["edited_from"], r["edited_paragraphs"]) == (pytest.approx(like), first, n)
+        assert r["near_next"] == pytest.approx(plain_likeness(tree, plain_tree(after))[0])
+
+
 def test_edits_are_located(spark):
     a = spark.createDataFrame([("one.\ntwo.\nthree.", "one.\nTWO.\nthree.")], "a string, b string")
-    both = merkle.with_tree(merkle.with_tree(a, "a", "a_"), "b", "b_")
-    assert both.select(merkle.edits(F.col("a_fingerprint"), F.col("b_fingerprint"))).first()[0] == [1]
+    both = merkle.compared(merkle.with_tree(merkle.with_tree(a, "a", "a_"), "b", "b_"), "a_tree", "b_tree", "")
+    assert tuple(both.select("from", "paragraphs").first()) == (1, 1)
+    assert both.first()["likeness"] == pytest.approx(2 / 3)
 
 
 def test_url_rules(spark):
