@@ -503,6 +503,120 @@ def test_weak_labels(spark):
     assert classifier.digest(docs.limit(0)).count() == 0
 
 
+def test_estimate_is_plain_expectation_maximisation():
+    import math
+
+    k = len(classifier.HEURISTICS)
+    rng = random.Random(4)
+    counts = Counter()
+    for _ in range(3000):
+        good = rng.random() < 0.7
+        v = [(1 if good == (rng.random() < 0.9) else 2) if name in classifier.PRAISING else (0 if rng.random() < (0.02 if good else 0.4) else 2) for name in classifier.HEURISTICS]
+        counts[sum(x * 3**i for i, x in enumerate(v))] += 1
+    patterns = sorted(counts)
+    got, prob, share = classifier.estimate(np.array(patterns), np.array([counts[p] for p in patterns]), rounds=7)
+    v = {p: [p // 3**i % 3 for i in range(k)] for p in patterns}
+    q = [[[0.01, 0.1, 0.89], [0.01, 0.9, 0.09]] if name in classifier.PRAISING else [[0.35, 0.01, 0.64], [0.02, 0.01, 0.97]] for name in classifier.HEURISTICS]
+    s = 0.8
+    for _ in range(7):
+        post = {}
+        for p in patterns:
+            bad, good = (math.prod(q[i][c][v[p][i]] for i in range(k)) * (s if c else 1 - s) for c in (0, 1))
+            post[p] = good / (good + bad)
+        for i in range(k):
+            for c in (0, 1):
+                n = [0.1 + sum(counts[p] * (post[p] if c else 1 - post[p]) for p in patterns if v[p][i] == x) for x in range(3)]
+                q[i][c] = [x / sum(n) for x in n]
+        s = (sum(post[p] * counts[p] for p in patterns) + 1) / (sum(counts.values()) + 2)
+    assert got.tolist() == pytest.approx([post[p] for p in patterns]) and share == pytest.approx(s)
+    assert np.abs(prob - np.array(q)).max() < 1e-9
+
+
+def test_scorer_is_plain_logistic_regression():
+    import math
+
+    rng = np.random.default_rng(6)
+    rows = [(np.sort(rng.choice(16, 5, replace=False)), rng.random(5), float(rng.random())) for _ in range(30)]
+    w, b = classifier.train(rows, bits=4, epochs=3)
+    share = sum(y > 0.5 for _, _, y in rows) / len(rows)
+    pw, pb, sq, bsq, order = [0.0] * 16, 0.0, [1e-3] * 16, 1e-3, np.random.default_rng(3)
+    for _ in range(3):
+        for i in order.permutation(len(rows)).tolist():
+            at, x, y = rows[i]
+            g = (0.5 / share if y > 0.5 else 0.5 / (1 - share)) * (1 / (1 + math.exp(-(sum(pw[j] * z for j, z in zip(at, x)) + pb))) - y)
+            for j, z in zip(at, x):
+                sq[j] += (g * z) ** 2
+                pw[j] -= 0.5 * g * z / math.sqrt(sq[j])
+            bsq += g * g
+            pb -= 0.5 * g / math.sqrt(bsq)
+    assert w.tolist() == pytest.approx(pw) and b == pytest.approx(pb)
+
+
+def test_sample_is_bounded_whatever_is_repeated(spark):
+    texts = spark.createDataFrame([("same",)] * 3000 + [(f"t{i}",) for i in range(500)], "text string")
+    assert classifier.sampled(texts, 3500, 100).count() <= 100
+    assert classifier.sampled(texts, 3500, 5000).count() == 501
+    assert classifier.sampled(texts, 10**15, 100).count() == 0
+
+
+def test_long_and_odd_texts_are_scored(spark):
+    rows = [(1, "word here. " * 300_000), (1, None), (None, "x" * 1_000_000), (None, ""), (2, "a"), (2, "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("pattern", F.lit("clash")).withColumn("h", F.lit(0)).withColumn("row", F.lit(1))
+    assert classifier.scored(docs, docs.columns).select("row.*").columns == docs.columns
+    assert classifier.digest(docs).count() == len(rows)
+
+
+def plain_fusion(rows, languages):
+    """The fusion of evidence row by row, in plain Python."""
+    import math
+
+    own = []
+    for _, _, _, log in rows:
+        e = [math.exp(x - max(log)) for x in log]
+        own.append([x / sum(e) for x in e])
+    k = len(languages)
+    best = [languages[o.index(max(o))] for o in own]
+    agree = sum(r[2] == b for r, b in zip(rows, best))
+    right = (agree + 1) / (sum(r[2] in languages for r in rows) + 2)
+    add = lambda keep: [sum(o[i] for o, r in zip(own, rows) if keep(r)) for i in range(k)]
+    total = [x + 1 for x in add(lambda r: True)]
+    everywhere = [x / sum(total) for x in total]
+    out = []
+    for (key, host, declared, log), o, b in zip(rows, own, best):
+        prior = everywhere
+        for level, weight in ((lambda r: r[1].split(".")[-1] == host.split(".")[-1], 20.0), (lambda r: r[1] == host, 5.0)):
+            sums = add(lambda r: host is not None and r[1] is not None and level(r))
+            less = [max(0.0, s - x) if host is not None else 0.0 for s, x in zip(sums, o)]
+            prior = [(x + weight * p) / (sum(less) + weight) for x, p in zip(less, prior)]
+        says = [0.0 if declared not in languages else math.log(right if declared == x else (1 - right) / (k - 1)) for x in languages]
+        fused = [a + math.log(p) + s for a, p, s in zip(log, prior, says)]
+        top = max(fused)
+        out.append((key, languages[fused.index(top)], round(1 / sum(math.exp(x - top) for x in fused), 6), b, declared))
+    return out
+
+
+@pytest.mark.parametrize("numbers", [2_000_000, 0])
+def test_fusion_equals_plain_python(spark, monkeypatch, numbers):
+    monkeypatch.setattr(language, "BROADCAST_NUMBERS", numbers)
+    rng = random.Random(2)
+    languages = ["aa", "bb", "cc"]
+    rows = [(i, rng.choice([None, "x.aa", "y.aa", "x.bb", "lone"]), rng.choice([None, "aa", "bb", "cc", "zz"]), [float(np.float32(rng.choice((-3, 0, -0.5)) + rng.random())) for _ in languages]) for i in range(200)]
+    rows += [(500, "x.aa", None, [0.0, 0.0, 0.0])]
+    got = language.identify(spark.createDataFrame(rows, "key long, host string, declared string, log array<double>"), languages).collect()
+    want = {r[0]: r for r in plain_fusion(rows, languages)}
+    for r in got:
+        w = want[r["key"]]
+        assert (r["lang"], r["text_lang"], r["declared"]) == (w[1], w[3], w[4]) and r["posterior"] == pytest.approx(w[2], abs=2e-6)
+    assert len(got) == len(rows)
+
+
+def test_languages_of_long_repeated_and_clashing_rows(spark):
+    docs = spark.createDataFrame([(1, "der die das " * 100_000, "de", "s"), (1, "der die das", "de", "s"), (2, "the of and", "en", None), (2, "the of and", "en", None), (None, "", None, "s")], "doc_id long, text string, lang string, source string").withColumn("key", F.lit("clash")).withColumn("host", F.lit("x"))
+    pages = spark.createDataFrame([(1, "u", "<p>the of and"), (1, "u", "<p>the of and"), (None, "http://h.x/", "")], "page_id long, url string, html string").withColumn("declared", F.lit("clash")).withColumn("log", F.lit(1))
+    got = language.digest(docs, pages).collect()
+    assert len(got) == 8 and all(r["lang"] == {1: "de", 2: "en"}[r["doc_id"]] for r in got if r["doc_id"] is not None)
+
+
 def test_language(spark):
     rng = random.Random(9)
     make = lambda letters, n=40: " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(n))
@@ -522,15 +636,15 @@ def test_language(spark):
 
 
 def test_language_models_for_all_languages(spark):
-    """Seventy languages, the rare ones with 3 documents beside 300 of a common one, and a sample of 6 for each."""
+    """Two hundred languages, the rare ones with 3 documents beside 300 of a common one, and a sample of 6 for each."""
     rng = random.Random(10)
-    letters = {f"l{chr(97 + i // 26)}{chr(97 + i % 26)}"[-3:]: "".join(rng.sample(string.ascii_lowercase, 4)) for i in range(70)}
+    letters = {f"l{chr(97 + i // 26)}{chr(97 + i % 26)}"[-3:]: "".join(rng.sample(string.ascii_lowercase, 4)) for i in range(200)}
     make = lambda k: " ".join("".join(rng.choice(letters[k]) for _ in range(5)) for _ in range(60))
     kinds = [k for k in letters for _ in range(3)] + [next(iter(letters))] * 300
     docs = spark.createDataFrame([(i, make(k), k, None) for i, k in enumerate(kinds)], "doc_id long, text string, lang string, source string")
     pages = spark.createDataFrame([(i, None, f'<html lang="{k}"><body></body></html>') for i, k in enumerate(letters)], "page_id long, url string, html string")
     languages, models = language.language_models(docs, sample_docs=6)
-    assert languages == sorted(letters) and len(models) == 70 and all(np.ptp(m) > 1 for m in models)
+    assert languages == sorted(letters) and len(models) == 200 and all(np.ptp(m) > 1 for m in models)
     got = language.digest(docs, pages).collect()
     assert sum(r["lang"] == kinds[r["doc_id"]] for r in got if r["doc_id"] is not None) > 0.97 * len(kinds)
     assert all(r["declared"] == list(letters)[r["page_id"]] for r in got if r["page_id"] is not None)

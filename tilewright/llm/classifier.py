@@ -17,12 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tilewright.llm.quality import text_counts
+from tilewright.llm.quality import SLICE_BYTES, text_counts
 from tilewright.llm.textscore import SLOTS_BITS, gram_rows, mean_scores, slots
-from tilewright.llm.words import flat_bytes, slices
+from tilewright.llm.words import flat_bytes, give_back, slices
 from tilewright.storage import materialize
 
-#: Documents, about, that the scorer is trained on, and passes over them.
+#: Documents at most that the scorer is trained on, and passes over them.
 SAMPLE_DOCS, EPOCHS = 4000, 5
 #: A text is bad if the scorer gives less than this.
 CUTOFF = 0.5
@@ -109,6 +109,16 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, float]], bits: int = SLOTS_BI
     return w, b
 
 
+def sampled(texts: DataFrame, n: int, most: int) -> DataFrame:
+    """Of the distinct texts of ``texts``, ``n`` rows, those ``most`` with the smallest hashes, as column ``h``.
+
+    However often a text is repeated it counts once, so copies cannot swell the sample.
+    """
+    share = min(1.0, 2.0 * most / max(n, 1))  # twice as many as wanted come to the sort, which takes the first
+    hashed = texts.withColumn("h", F.xxhash64("text")).where((F.col("h").cast("double") / float(1 << 64) + 0.5) < F.lit(share if share < 1 else 2.0))
+    return hashed.dropDuplicates(["h"]).orderBy("h").limit(most)
+
+
 def scored(docs: DataFrame, keep: list[str], id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """``row`` (the ``keep`` columns), ``weak_label``, ``score`` and ``good`` for every row of ``docs``.
 
@@ -116,29 +126,32 @@ def scored(docs: DataFrame, keep: list[str], id_col: str = "doc_id", text_col: s
     is empty; an empty text has score 0. Null and repeated ids are judged like others. An empty table gives an
     empty result; where all weak labels are of one kind the scorer gives their mean.
     """
-    source = docs.select(F.struct(*[docs[f"`{c}`"] for c in keep]).alias("row"), docs[f"`{text_col}`"].cast("string").alias("text"), F.xxhash64(docs[f"`{id_col}`"], docs[f"`{text_col}`"]).alias("h"))
+    text = docs[f"`{text_col}`"].cast("string")
+    source = docs.select(F.struct(*[docs[f"`{c}`"] for c in keep]).alias("row"), text.alias("text"))
+    with_pattern = T.StructType([*source.schema.fields, T.StructField("pattern", T.LongType())])
 
     def patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
-                yield pa.RecordBatch.from_arrays([pa.array(pattern(part.column("text"))), part.column("h")], ["pattern", "h"])
+            for part in slices(batch, "text", SLICE_BYTES):
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(pattern(part.column("text")))], with_pattern.names)
+        give_back()
 
-    seen = materialize(source.select("text", "h").mapInArrow(patterns, "pattern long, h long").groupBy("pattern").count(), "patterns")
-    table = np.array([(r["pattern"], r["count"]) for r in seen.collect()], dtype=np.int64).reshape(-1, 2)  # at most 3^k rows
+    source = materialize(source.mapInArrow(patterns, with_pattern), "voted")
+    table = np.array([(r["pattern"], r["count"]) for r in source.groupBy("pattern").count().collect()], dtype=np.int64).reshape(-1, 2)  # at most 3^k rows
     post = dict(zip(table[:, 0].tolist(), estimate(table[:, 0], table[:, 1])[0].tolist()))
     n = int(table[:, 1].sum())
-    share = min(1.0, sample_docs / max(n, 1))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 data, offsets = flat_bytes(part.column("text"))
                 at = slots(data, fold=False)
-                labels = [post.get(p, 0.5) for p in pattern(part.column("text")).tolist()]
+                labels = [post.get(p, 0.5) for p in part.column("pattern").to_pylist()]
                 got = [np.unique(at[a:b], return_counts=True) for a, b in zip(*(x.tolist() for x in gram_rows(offsets)))]
-                yield pa.RecordBatch.from_arrays([pa.array([x.astype(np.int32) for x, _ in got], pa.list_(pa.int32())), pa.array([(c / max(c.sum(), 1) * SCALE).astype(np.float32) for _, c in got], pa.list_(pa.float32())), pa.array(labels, pa.float64())], ["at", "x", "label"])
+                yield pa.RecordBatch.from_arrays([part.column("h"), pa.array([x.astype(np.int32) for x, _ in got], pa.list_(pa.int32())), pa.array([(c / max(c.sum(), 1) * SCALE).astype(np.float32) for _, c in got], pa.list_(pa.float32())), pa.array(labels, pa.float64())], ["h", "at", "x", "label"])
 
-    sample = source.where((F.pmod("h", F.lit(1 << 20)) < F.lit(share * (1 << 20)))).select("text").mapInArrow(features, "at array<int>, x array<float>, label double")
+    few = sampled(source.select("text", "pattern"), n, sample_docs)
+    sample = few.mapInArrow(features, "h long, at array<int>, x array<float>, label double").orderBy("h")
     rows = [(np.array(r["at"], dtype=np.int64), np.array(r["x"]), r["label"]) for r in sample.toLocalIterator() if r["at"]]
     w, b = train(rows)
     model = (w * SCALE).astype(np.float32)[None]
@@ -149,11 +162,12 @@ def scored(docs: DataFrame, keep: list[str], id_col: str = "doc_id", text_col: s
                 data, offsets = flat_bytes(part.column("text"))
                 mean, size = mean_scores(data, offsets, model, fold=False)
                 score = np.where(size > 0, 1 / (1 + np.exp(-np.clip(mean[:, 0] + b, -500, 500))), 0.0)
-                label = [post.get(p, 0.5) for p in pattern(part.column("text")).tolist()]
+                label = [post.get(p, 0.5) for p in part.column("pattern").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(label, pa.float64()), pa.array(score), pa.array(score >= CUTOFF)], ["row", "weak_label", "score", "good"])
+        give_back()
 
     schema = T.StructType([source.schema["row"], *T.StructType.fromDDL("weak_label double, score double, good boolean").fields])
-    return source.select("row", "text").mapInArrow(judge, schema)
+    return source.mapInArrow(judge, schema)
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -24,11 +24,13 @@ from pyspark.sql import types as T
 
 from tilewright.llm.maintext import BlockField, main_text, trained_field
 from tilewright.llm.textscore import GRAM, SLOTS_BITS, gram_rows, mean_scores, slots
-from tilewright.llm.words import flat_bytes, slices
-from tilewright.storage import materialize
+from tilewright.llm.words import flat_bytes, give_back, slices
+from tilewright.storage import hinted, materialize
 
 #: Documents, about, of each language that its text model is trained on.
 SAMPLE_DOCS = 5000
+#: Numbers that a table of priors may hold if it is broadcast.
+BROADCAST_NUMBERS = 2_000_000
 #: Pages that a prior further up counts as.
 SUFFIX_WEIGHT, HOST_WEIGHT = 20.0, 5.0
 _DECLARED = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?\s*([A-Za-z]{2,3})", re.I)
@@ -76,15 +78,10 @@ def language_models(docs: DataFrame, text_col: str = "text", lang_col: str = "la
     return languages, out
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    e = np.exp(x - x.max(axis=1, keepdims=True)) if x.size else x
-    return e / e.sum(axis=1, keepdims=True) if x.size else x
-
-
 def by_text(table: DataFrame, models: np.ndarray, languages: list[str], field: BlockField | None) -> DataFrame:
-    """``table`` (key, host, declared, text) with ``log``: log-likelihoods of the languages; ``table`` may have
-    html in place of text, where ``field`` is given."""
-    schema = T.StructType([table.schema["key"], table.schema["host"], *T.StructType.fromDDL("declared string, log array<double>").fields])
+    """``table`` (key, host, declared, text) with ``log``: log-likelihoods of the languages over that of the likeliest;
+    ``table`` may have html in place of text, where ``field`` is given."""
+    schema = T.StructType([table.schema["key"], table.schema["host"], *T.StructType.fromDDL("declared string, log array<float>").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,7 +95,9 @@ def by_text(table: DataFrame, models: np.ndarray, languages: list[str], field: B
                 data, offsets = flat_bytes(text)
                 mean, size = mean_scores(data, offsets, models, fold=True)
                 log = mean * (size / GRAM)[:, None]
-                yield pa.RecordBatch.from_arrays([part.column("key"), part.column("host"), declared, pa.array(list(log), pa.list_(pa.float64()))], schema.names)
+                log = (log - log.max(axis=1, keepdims=True)).astype(np.float32) if log.size else log.astype(np.float32)
+                yield pa.RecordBatch.from_arrays([part.column("key"), part.column("host"), declared, pa.array(list(log), pa.list_(pa.float32()))], schema.names)
+        give_back()
 
     return table.mapInArrow(run, schema)
 
@@ -111,23 +110,29 @@ def identify(table: DataFrame, languages: list[str]) -> DataFrame:
     """
     k = len(languages)
     names = F.array(*[F.lit(x) for x in languages]) if languages else F.array().cast("array<string>")
-    top = F.array_max("log")
-    e = F.transform("log", lambda x: F.exp(x - F.col("__top")))
-    rows = table.withColumn("__top", top).withColumn("__e", e).withColumn("__sum", F.aggregate("__e", F.lit(0.0), lambda a, x: a + x))
-    rows = rows.withColumn("own", F.transform("__e", lambda x: x / F.col("__sum"))).drop("__top", "__e", "__sum")
-    rows = rows.withColumn("suffix", F.substring_index("host", ".", -1))
-    rows = rows.withColumn("text_lang", F.get(names, (F.array_position("own", F.array_max("own")) - 1).cast("int")))
-    rows = materialize(rows, "by-text")
-    cols = [F.get("own", F.lit(i)) for i in range(k)]
-    sums = [F.sum(c).alias(f"s{i}") for i, c in enumerate(cols)]
-    totals = rows.agg(F.count("*").alias("n"), F.sum((F.col("declared") == F.col("text_lang")).cast("long")).alias("agree"), F.sum(F.col("declared").isin(languages).cast("long")).alias("declared"), *sums).first()
+    rows = materialize(table.select("key", "host", F.substring_index("host", ".", -1).alias("suffix"), "declared", F.col("log").cast("array<double>").alias("log")), "by-text")
+    rows = rows.withColumn("text_lang", F.get(names, (F.array_position("log", F.array_max("log")) - 1).cast("int")))
+    e = F.transform("log", lambda x: F.exp(x - F.array_max("log")))
+    rows = rows.withColumn("__e", e).withColumn("__sum", F.aggregate("__e", F.lit(0.0), lambda a, x: a + x))
+    rows = rows.withColumn("own", F.transform("__e", lambda x: x / F.col("__sum"))).drop("__e", "__sum")
+    sums = [F.sum(F.get("own", F.lit(i))) for i in range(k)]
+    # what suffixes and all rows sum to follows from the sums by host, a row for each
+    counts = [F.count("*").alias("n"), F.sum((F.col("declared") == F.col("text_lang")).cast("long")).alias("agree"), F.sum(F.array_contains(names, F.col("declared")).cast("long")).alias("declared")]
+    hosts = materialize(rows.groupBy("host", "suffix").agg(F.array(*sums).cast("array<double>").alias("by_host"), *counts), "hosts")
+    add = [F.sum(F.get("by_host", F.lit(i))) for i in range(k)]
+    totals = hosts.agg(F.sum("agree").alias("agree"), F.sum("declared").alias("declared"), F.array(*add).cast("array<double>").alias("sums")).first()
     right = ((totals["agree"] or 0) + 1) / ((totals["declared"] or 0) + 2)
     wrong = (1 - right) / max(k - 1, 1)
-    everywhere = [(totals[f"s{i}"] or 0.0) + 1.0 for i in range(k)]
+    everywhere = [(x or 0.0) + 1.0 for x in totals["sums"]]
     everywhere = [x / sum(everywhere) for x in everywhere]
-    suffixes = rows.where("suffix is not null").groupBy("suffix").agg(F.array(*sums_of(k)).alias("by_suffix"))
-    hosts = rows.where("host is not null").groupBy("host").agg(F.array(*sums_of(k)).alias("by_host"))
-    joined = rows.join(hosts, "host", "left").join(suffixes, "suffix", "left")
+    suffixes = materialize(hosts.where("suffix is not null").groupBy("suffix").agg(F.array(*add).cast("array<double>").alias("by_suffix")), "suffixes")
+    few = max(1, BROADCAST_NUMBERS // max(k, 1))
+    known = hosts.where("host is not null").select(F.col("host").alias("at_host"), "suffix", "by_host").join(hinted(suffixes, few), "suffix").drop("suffix")
+    if hosts.count() <= few // 2:
+        known = F.broadcast(known)
+    # rows without a host match none: dealt by their key, they don't meet in one task; hot hosts are split as skewed
+    at_host = F.coalesce("host", F.concat(F.lit("\x00"), F.pmod(F.xxhash64("key", "log"), F.lit(1024)).cast("string")))
+    joined = rows.withColumn("at_host", at_host).join(known, "at_host", "left")
 
     def smoothed(column: str, weight: float, above):
         sums = F.coalesce(column, F.array_repeat(F.lit(0.0), k))
@@ -147,10 +152,6 @@ def identify(table: DataFrame, languages: list[str]) -> DataFrame:
     return joined.select("key", F.get(names, (F.array_position("fused", F.col("best")) - 1).cast("int")).alias("lang"), F.round(1.0 / weight, 6).alias("posterior"), "text_lang", "declared")
 
 
-def sums_of(k: int) -> list:
-    return [F.sum(F.get("own", F.lit(i))) for i in range(k)]
-
-
 def digest(docs: DataFrame, pages: DataFrame) -> DataFrame:
     """A row for each page and each document: page_id or doc_id, lang, posterior, text_lang, declared.
 
