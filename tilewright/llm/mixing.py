@@ -58,14 +58,17 @@ def _chance(id_col: Column, seed: int) -> Column:
     return F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
-    """All columns of ``docs`` as ``row``, with ``size``, ``source_size``, ``target`` and ``copies``.
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS, keep: list[str] | None = None) -> DataFrame:
+    """The ``keep`` columns of ``docs``, or all, as ``row``, with ``size``, ``source_size``, ``target`` and ``copies``.
 
     Null text has no words. A null source is a source, the last one. Rows with the same id draw alike, as
     do all rows with a null id. A source without words has target zero and none of its rows is taken. An
     empty table gives an empty result.
     """
-    sized = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs[f"`{source_col}`"].alias("source"), docs[f"`{id_col}`"].alias("id"), token_count(docs[f"`{text_col}`"]).alias("size"))
+    kept = docs.columns if keep is None else keep
+    sized = docs.select(F.struct(*[docs[f"`{c}`"] for c in kept]).alias("row"), docs[f"`{source_col}`"].alias("source"), docs[f"`{id_col}`"].alias("id"), token_count(docs[f"`{text_col}`"]).alias("size"))
+    if text_col not in kept:  # rows without their texts: written once, so that words are counted once
+        sized = materialize(sized, "sized")
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     t = materialize(targets(sizes, weights, most).withColumnRenamed("source", "__source"), "targets")
     if t.count() <= BROADCAST_SOURCES:
@@ -78,7 +81,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    out = mixed(docs.select("doc_id", "text", "source"))
+    out = mixed(docs, keep=["doc_id"])
     return out.select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
