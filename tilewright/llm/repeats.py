@@ -7,8 +7,8 @@ document or another. Everything is exact and judged on the input.
    (winnowing; all of equal hash are). Equal strings have equal anchors in equal places, so all that
    a string could match meets under one anchor hash.
 2. *Pre-aggregation.* An anchor's window is all that such a string around it may hold. Anchors that
-   occur once are done. A window that occurs twice is covered whole. Only the distinct windows of
-   anchors that have several go on.
+   occur once are done. A window that occurs twice is covered whole, as are all of an anchor whose windows
+   are equal. Only the distinct windows of anchors that have several go on.
 3. *Run-length index.* The windows of a bucket of anchors, overlapping ones of a document joined, become
    one text. Its Burrows-Wheeler transform is kept as runs; text positions are sampled at the runs' heads
    and ends, where alone the longest match with the lexicographic neighbour has to be measured. Streaming
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tilewright.llm.words import flat_bytes, give_back, slices
-from tilewright.storage import discard, hinted, materialize
+from tilewright.storage import BROADCAST_ROWS, discard, hinted, materialize
 
 #: Bytes of an anchor.
 GRAM = 48
@@ -267,11 +267,14 @@ class Repeats:
         often = found.groupBy("h").agg(F.count("*").alias("n"), (F.min("w") != F.max("w")).alias("mixed")).where("n > 1").select("h", "mixed")
         seen = materialize(found.join(materialize(often, "often"), "h"), "seen")  # read again, so that a hot anchor can be split
         discard(found)
-        by_window = seen.groupBy("h", "w").agg(F.count("*").alias("n"), F.min(F.struct("did", "tid", "p")).alias("one"), F.first("mixed").alias("mixed"))
-        counts = materialize(by_window.where("n > 1 or mixed"), "windows")
-        twice = seen.join(counts.where("n > 1").select("h", "w"), ["h", "w"], "left_semi")
+        # where all windows of an anchor are equal, each is covered whole; only the others are told apart
+        mixed = seen.where("mixed")
+        counts = materialize(mixed.groupBy("h", "w").agg(F.count("*").alias("n"), F.min(F.struct("did", "tid", "p")).alias("one")), "windows")
+        several = counts.where("n > 1").select("h", "w")
+        several = F.broadcast(several) if several.count() <= BROADCAST_ROWS else several
+        twice = seen.where("not mixed").select("did", "tid", "p").unionByName(mixed.join(several, ["h", "w"], "left_semi").select("did", "tid", "p"))
         whole = twice.select("did", "tid", F.greatest(F.lit(0), F.col("p") - self.reach).alias("a"), (F.col("p") + self.length).alias("b"))
-        wanted = counts.where("mixed").groupBy("one.did", "one.tid").agg(F.collect_list(F.struct(F.col("one.p").alias("p"), "h")).alias("at"))
+        wanted = counts.groupBy("one.did", "one.tid").agg(F.collect_list(F.struct(F.col("one.p").alias("p"), "h")).alias("at"))
         return whole.unionByName(self.indexed(self.windows(wanted)))
 
     def indexed(self, windows: DataFrame) -> DataFrame:
