@@ -32,6 +32,7 @@ def main(args: list[str] | None = None) -> None:
     sub.add_argument("--tau", type=float, default=0.1)
     sub.add_argument("--sep", default=" ")
     sub.add_argument("--raw", action="store_true", help="do not normalise")
+    sub.add_argument("--ids", action="store_true", help="write the ids of each cluster's points")
     a = parser.parse_args(args)
     spark = SparkSession.builder.appName("tilewright").getOrCreate()
     if a.command == "tiles":
@@ -50,12 +51,9 @@ def main(args: list[str] | None = None) -> None:
     data = data if a.raw else metrics.normalize_minmax(data, names)
     found = clique.run(data, names, a.intervals, a.tau)
     members = clique.cluster_points(clique.unit_vectors(data, names, a.intervals), found, len(names))
-    sinks.write_descriptions(clique.describe(found, members), a.output)
+    sinks.write_descriptions(clique.describe(found, members, a.ids), a.output)
     if a.label is not None:
-        whole = found.where(F.size("dims") == len(names)).select("cluster_id").distinct()
-        own = members.join(whole, "cluster_id").groupBy("point_id").agg(F.min("cluster_id").alias("cluster"))
-        scored = data.join(own, "point_id", "left").select(F.col("label").alias("truth"), F.coalesce("cluster", F.lit(0)).alias("cluster"))
-        metrics.validity_scores(scored).show()
+        clique.scores_by_dimensions(data.select("point_id", F.col("label").alias("truth")), found, members, len(names)).orderBy("k").show()
 
 
 if __name__ == "__main__":

@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.functions.tiles import unit
-from tilewright.operators.components import connected_components
+from tilewright.operators.components import connected_components, numbered
+from tilewright.operators.metrics import validity_scores
 from tilewright.storage import materialize
 
 _FACE = "dims", "units"
@@ -98,8 +99,8 @@ def run(points: DataFrame, columns: list[str], intervals: int, tau: float) -> Da
     for x in levels[1:]:
         out = out.unionByName(x)
     out = materialize(out, "subspaces")
-    # a row for each cluster is ranked
-    ids = out.select("root").distinct().withColumn("cluster_id", F.row_number().over(Window.orderBy(F.size("root.dims"), "root")))
+    roots = out.select("root").distinct().withColumn("k", F.size("root.dims"))
+    ids = numbered(roots, ["k", "root"], "cluster_id", 1).withColumn("cluster_id", F.col("cluster_id").cast("int"))
     return out.join(ids, "root").select("cluster_id", *_FACE)
 
 
@@ -110,8 +111,26 @@ def cluster_points(vectors: DataFrame, found: DataFrame, dims: int) -> DataFrame
     return vectors.select("point_id", keys.alias("key")).select("point_id", "key.*").join(found, list(_FACE)).select("cluster_id", "point_id")
 
 
-def describe(found: DataFrame, members: DataFrame) -> DataFrame:
-    """One text line for each cluster: units, dimensions, size."""
-    sizes = members.groupBy("cluster_id").agg(F.count("*").alias("n_points"))
+def scores_by_dimensions(truth: DataFrame, found: DataFrame, members: DataFrame, dims: int) -> DataFrame:
+    """``(k, ari, homogeneity, completeness, v_measure, fmi)``: validity of the clusters of k dimensions, for every k.
+
+    ``truth``: point_id, truth. A point in several clusters of a level is in the one of the smallest id, a point in none is
+    in a class of its own, 0. Levels without clusters are scored too.
+    """
+    out = None
+    for k in range(1, dims + 1):
+        level = found.where(F.size("dims") == k).select("cluster_id").distinct()
+        own = members.join(level, "cluster_id").groupBy("point_id").agg(F.min("cluster_id").alias("cluster"))
+        scored = truth.join(own, "point_id", "left").select("truth", F.coalesce("cluster", F.lit(0)).alias("cluster"))
+        one = validity_scores(scored).select(F.lit(k).alias("k"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def describe(found: DataFrame, members: DataFrame, with_points: bool = False) -> DataFrame:
+    """One text line for each cluster: units, dimensions, size and, if asked for, the ids of its points in order, which one task gathers."""
+    more = [F.array_sort(F.collect_list("point_id")).alias("points")] if with_points else []
+    sizes = members.groupBy("cluster_id").agg(F.count("*").alias("n_points"), *more)
     units = found.groupBy("cluster_id").agg(F.array_sort(F.collect_list("units")).alias("units"), F.first("dims").alias("dims"))
-    return units.join(sizes, "cluster_id", "left").select(F.format_string("Cluster %d: dimensions %s, dense units %s, %d points", "cluster_id", F.to_json("dims"), F.to_json("units"), F.coalesce("n_points", F.lit(0))).alias("value"))
+    line = F.format_string("Cluster %d: dimensions %s, dense units %s, %d points", "cluster_id", F.to_json("dims"), F.to_json("units"), F.coalesce("n_points", F.lit(0)))
+    return units.join(sizes, "cluster_id", "left").select((F.concat(line, F.lit(" "), F.to_json("points")) if with_points else line).alias("value"))

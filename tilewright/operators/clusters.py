@@ -7,12 +7,14 @@ and goes through the distributed fixpoint. A table of few tiles is one block and
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.operators.components import connected_components
+from tilewright.operators.components import connected_components, numbered
 from tilewright.operators.neighbors import half_edges
 from tilewright.operators.tiles import project, significant_tiles
 from tilewright.storage import materialize, ship
@@ -79,9 +81,6 @@ def contracted_components(tiles: DataFrame, part: str) -> DataFrame:
 
 def tile_components(tiles: DataFrame) -> DataFrame:
     """``(tx, ty, rx, ry)``: each distinct tile with its component's smallest tile by (tx, ty)."""
-    tiles = materialize(tiles.select("tx", "ty"), "tiles")
-    if tiles.count() <= ONE_BLOCK_TILES:
-        return local_components(tiles.withColumn("part", F.lit(0)), "part").select("tx", "ty", "rx", "ry")
     side = F.lit(BLOCK_SIDE)
     block = F.struct(F.floor(F.col("tx") / side), F.floor(F.col("ty") / side))
     return contracted_components(tiles.withColumn("part", F.xxhash64(block)), "part")
@@ -90,13 +89,37 @@ def tile_components(tiles: DataFrame) -> DataFrame:
 def ranked(components: DataFrame, min_size: int) -> DataFrame:
     """``(label, tx, ty)`` of components with at least ``min_size`` tiles, labelled from 0 by their smallest tile."""
     components = materialize(components, "components")
-    kept = components.groupBy("rx", "ry").agg(F.count("*").alias("n")).where(F.col("n") >= min_size)
-    numbered = kept.select("rx", "ry", (F.dense_rank().over(Window.orderBy("rx", "ry")) - 1).cast("long").alias("label"))  # a row for each cluster
-    return components.join(numbered, ["rx", "ry"]).select("label", "tx", "ty")
+    kept = components.groupBy("rx", "ry").agg(F.count("*").alias("n")).where(F.col("n") >= min_size).select("rx", "ry")
+    return components.join(numbered(kept, ["rx", "ry"], "label"), ["rx", "ry"]).select("label", "tx", "ty")
+
+
+def _one_block(tiles: DataFrame, min_size: int) -> DataFrame:
+    """What :func:`ranked` gives, for tiles that one task holds."""
+    ship(tiles.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        tx, ty = np.asarray(table["tx"]), np.asarray(table["ty"])
+        top = union_find(tx, ty)
+        roots, of, size = np.unique(top, return_inverse=True, return_counts=True)
+        order = np.lexsort((ty[roots], tx[roots]))
+        label = np.full(len(roots), -1, np.int64)
+        large = order[size[order] >= min_size]
+        label[large] = np.arange(len(large))
+        keep = label[of] >= 0
+        yield pa.RecordBatch.from_arrays([pa.array(label[of][keep]), pa.array(tx[keep]), pa.array(ty[keep])], ["label", "tx", "ty"])
+
+    return tiles.coalesce(1).mapInArrow(run, "label long, tx long, ty long")
 
 
 def cluster_tiles(tiles: DataFrame, min_size: int) -> DataFrame:
     """``(label, tx, ty)`` from a table of distinct tiles, which is not changed."""
+    tiles = materialize(tiles.select("tx", "ty"), "tiles")
+    if tiles.count() <= ONE_BLOCK_TILES:
+        return _one_block(tiles, min_size)
     return ranked(tile_components(tiles), min_size)
 
 

@@ -69,7 +69,8 @@ def mean_shift(points: DataFrame, bandwidth: float, rounds: int = 50) -> DataFra
     """Flat-kernel mean shift of one seed for each cell of side ``bandwidth``; far points get -1.
 
     Every round moves all seeds to the mean of the points within the bandwidth, found through the nine cells
-    around; seeds that end within a bandwidth of a fuller one give way to it, on the driver, which holds seeds.
+    around. Seeds that end in the same hundredth of a bandwidth are one mode, found by a grouped aggregation;
+    of the modes, one that is within a bandwidth of a fuller one gives way to it.
     """
     cell = lambda c: F.floor(F.col(c) / F.lit(bandwidth)).cast("long")
     p = points.select("point_id", "x", "y", cell("x").alias("cx"), cell("y").alias("cy"))
@@ -88,7 +89,9 @@ def mean_shift(points: DataFrame, bandwidth: float, rounds: int = 50) -> DataFra
     else:
         raise RuntimeError(f"seeds still move after {rounds} rounds")
     modes: list[tuple[float, float]] = []
-    for r in moved.orderBy(F.desc("n"), "mx", "my").toLocalIterator():
+    near = [F.floor(F.col(c) / F.lit(bandwidth / 100)) for c in ("mx", "my")]
+    ended = moved.groupBy(*near).agg(F.max_by(F.struct("mx", "my", "n"), F.struct("n", -F.col("mx"), -F.col("my"))).alias("m")).select("m.*")
+    for r in ended.orderBy(F.desc("n"), "mx", "my").toLocalIterator():  # a row for each mode
         if all((r["mx"] - x) ** 2 + (r["my"] - y) ** 2 > bandwidth**2 for x, y in modes):
             modes.append((r["mx"], r["my"]))
     table = points.sparkSession.createDataFrame([(i, x, y) for i, (x, y) in enumerate(modes)], "seed long, sx double, sy double")

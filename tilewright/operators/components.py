@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -70,6 +70,21 @@ def connected_components(edges: DataFrame, src: str = "u", dst: str = "v", max_r
     return found.unionByName(roots).unionByName(lone)
 
 
+def numbered(rows: DataFrame, order: list[str], name: str, start: int = 0) -> DataFrame:
+    """``rows``, distinct in ``order``, with their place in that order from ``start`` on as ``name``.
+
+    Rows go to ranges; a row's place is that in its range after the sizes of the ranges before, so no task holds
+    them all. Only the sizes are summed in one task.
+    """
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = materialize(dealt.withColumn("__at", F.monotonically_increasing_id()), "placed")  # range << 33 | place
+    placed = placed.withColumn("__range", F.shiftright("__at", 33))
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = placed.groupBy("__range").agg(F.count("*").alias("n")).select("__range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))
+    place = F.col("__before") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) + F.lit(start)
+    return placed.join(F.broadcast(sizes), "__range").select(*rows.columns, place.cast("long").alias(name))  # a row for each partition
+
+
 def _comparable(kind: T.DataType) -> bool:
     """Are values of this type ordered in Python as they are in Spark?"""
     if isinstance(kind, T.StructType):

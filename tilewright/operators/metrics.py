@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from math import exp, lgamma, log
+from collections.abc import Iterator
+from math import log, pi
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tilewright.storage import ship
+from tilewright.storage import materialize, ship
 
 #: Rows of one block of a pairwise comparison.
 PAIR_BLOCK = 2048
@@ -137,26 +138,51 @@ def validity_scores(labelled: DataFrame) -> DataFrame:
     return out.select("ari", "homogeneity", "completeness", F.coalesce(F.try_divide(2.0 * F.col("homogeneity") * F.col("completeness"), F.col("homogeneity") + F.col("completeness")), F.lit(0.0)).alias("v_measure"), "fmi")
 
 
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    """ln of the gamma function of positive numbers: Stirling's series from x + 10 on, and ten factors less."""
+    x = np.asarray(x, dtype=np.float64)
+    z = x + 10.0
+    r = 1.0 / (z * z)
+    series = (1 / 12 - r * (1 / 360 - r * (1 / 1260 - r * (1 / 1680 - r / 1188)))) / z
+    return (z - 0.5) * np.log(z) - z + 0.5 * log(2 * pi) + series - np.log(np.prod([x + k for k in range(10)], axis=0))
+
+
+def expected_information(a: int, b: int, n: int) -> float:
+    """The mean, over all ways to deal n points, of what classes of sizes a and b share of the mutual information."""
+    total, fixed = 0.0, log_gamma(np.array([a, b, n - a, n - b]) + 1.0).sum() - float(log_gamma(np.array([n + 1.0]))[0])
+    low, high = max(1, a + b - n), min(a, b)
+    for at in range(low, high + 1, 1 << 16):
+        i = np.arange(at, min(at + (1 << 16), high + 1), dtype=np.float64)
+        chance = fixed - log_gamma(i + 1) - log_gamma(a - i + 1) - log_gamma(b - i + 1) - log_gamma(n - a - b + i + 1)
+        total += float((i / n * (np.log(n) + np.log(i) - log(a) - log(b)) * np.exp(chance)).sum())
+    return total
+
+
 def adjusted_mutual_information(labelled: DataFrame) -> DataFrame:
-    """``(ami)`` with the arithmetic mean. The expectation is summed over the two lists of class sizes, which
-    are what is gathered; equal sizes are summed once."""
-    c = contingency(labelled)
+    """``(ami)`` with the arithmetic mean. The expectation is summed in executors over pairs of distinct class sizes;
+    of n points there are at most sqrt(2 n) distinct sizes, and only those of one side are handed to all tasks."""
+    c = materialize(contingency(labelled), "contingency")
+    spark = labelled.sparkSession
+    ship(spark)
     cells = c.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.ln("n")).alias("e")).first()
-    sides = [sorted((r["m"], r["k"]) for r in c.groupBy(x).agg(F.sum("n").alias("m")).groupBy("m").agg(F.count("*").alias("k")).collect()) for x in ("truth", "cluster")]
+    sizes = [materialize(c.groupBy(x).agg(F.sum("n").alias("m")).groupBy("m").agg(F.count("*").alias("k")), "sizes") for x in ("truth", "cluster")]
     n = int(cells["n"] or 0)
+    sums = [x.agg(F.sum("k").alias("classes"), F.sum(F.col("k") * F.col("m") * F.ln("m")).alias("e")).first() for x in sizes]
     value = 1.0
-    if n and any(sum(k for _, k in s) > 1 for s in sides):
-        ht, hc = (log(n) - sum(k * m * log(m) for m, k in s) / n for s in sides)
+    if n and any(x["classes"] > 1 for x in sums):
+        ht, hc = (log(n) - x["e"] / n for x in sums)
         mutual = ht + hc - (log(n) - cells["e"] / n)
-        f = [lgamma(i + 1) for i in range(n + 1)]
-        expected = 0.0
-        for a, ka in sides[0]:
-            for b, kb in sides[1]:
-                for i in range(max(1, a + b - n), min(a, b) + 1):
-                    expected += ka * kb * i / n * log(n * i / (a * b)) * exp(f[a] + f[b] + f[n - a] + f[n - b] - f[n] - f[i] - f[a - i] - f[b - i] - f[n - a - b + i])
+        other = [(r["m"], r["k"]) for r in sizes[1].toLocalIterator()]
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                part = [ka * kb * expected_information(a, b, n) for a, ka in zip(frame.m.tolist(), frame.k.tolist()) for b, kb in other]
+                yield pd.DataFrame({"x": [float(sum(part))]})
+
+        expected = sizes[0].repartition(F.col("m")).mapInPandas(run, "x double").agg(F.sum("x")).first()[0]
         gap = (ht + hc) / 2 - expected
         value = (mutual - expected) / gap if gap else 0.0
-    return labelled.sparkSession.createDataFrame([(float(value),)], "ami double")
+    return spark.createDataFrame([(float(value),)], "ami double")
 
 
 def cluster_ratio(labels: DataFrame, expected: int) -> DataFrame:

@@ -412,9 +412,9 @@ def _truth(spark, sf_dir) -> DataFrame:
     return _labelled(CUSTOMER, spark, sf_dir, "c_nationkey AS truth").select("truth", (F.col("label") + 1).alias("cluster"))
 
 
-@query(_with(CUSTOMER, "SELECT round(ari, 6) AS ari, round(h, 6) AS homogeneity, round(k, 6) AS completeness, round(2 * h * k / (h + k), 6) AS v_measure, round(fmi, 6) AS fmi FROM r", more="c_nationkey AS truth", extra=_TRUTH))
+@query(_with(CUSTOMER, "SELECT round(ari, 6) + 0.0::DOUBLE AS ari, round(h, 6) + 0.0::DOUBLE AS homogeneity, round(k, 6) + 0.0::DOUBLE AS completeness, round(2 * h * k / (h + k), 6) + 0.0::DOUBLE AS v_measure, round(fmi, 6) + 0.0::DOUBLE AS fmi FROM r", more="c_nationkey AS truth", extra=_TRUTH))
 def validity_scores(spark, sf_dir):
-    return metrics.validity_scores(_truth(spark, sf_dir)).select(*[F.round(c, 6).alias(c) for c in ("ari", "homogeneity", "completeness", "v_measure", "fmi")])
+    return metrics.validity_scores(_truth(spark, sf_dir)).select(*[(F.round(c, 6) + F.lit(0.0)).alias(c) for c in ("ari", "homogeneity", "completeness", "v_measure", "fmi")])
 
 
 @query(_with(CUSTOMER, "SELECT round((mi - x) / ((ht + hc) / 2 - x), 6) + 0.0::DOUBLE AS ami FROM i, emi", more="c_nationkey AS truth", extra=_TRUTH + """,
@@ -440,15 +440,28 @@ def bench_stats(spark, sf_dir):
     return out.select("algorithm", *[F.round(c, 6).alias(c) for c in ("mean", "median", "stdev")], "runs")
 
 
-@query(f"""WITH p AS (SELECT p_partkey::BIGINT AS point_id, p_retailprice::DOUBLE AS x, p_size::DOUBLE * 10 AS y FROM part),
+@query("""WITH RECURSIVE p AS (SELECT p_partkey::BIGINT AS point_id, p_retailprice::DOUBLE AS x, p_size::DOUBLE * 10 AS y FROM part),
 near AS (SELECT a.point_id AS a, b.point_id AS b FROM p a JOIN p b ON abs(a.x - b.x) <= 4 AND abs(a.y - b.y) <= 4 AND (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 16),
-core AS (SELECT a FROM near GROUP BY a HAVING count(*) >= 4)
-SELECT p.point_id, (core.a IS NOT NULL) AS is_core, EXISTS (SELECT 1 FROM near n JOIN core c ON c.a = n.a WHERE n.b = p.point_id) AS clustered FROM p LEFT JOIN core ON core.a = p.point_id""")
+core AS (SELECT a FROM near GROUP BY a HAVING count(*) >= 4),
+links AS (SELECT n.a AS src, n.b AS dst FROM near n JOIN core c ON c.a = n.a JOIN core d ON d.a = n.b WHERE n.a <> n.b),
+reach AS (SELECT a AS root, a AS id FROM core UNION SELECT r.root, l.dst FROM reach r JOIN links l ON l.src = r.id WHERE l.dst > r.root),
+comp AS (SELECT id, min(root) AS root FROM reach GROUP BY id),
+border AS (SELECT n.b AS id, min(c.root) AS root FROM near n JOIN comp c ON c.id = n.a GROUP BY n.b)
+SELECT p.point_id, (core.a IS NOT NULL) AS is_core, coalesce(comp.root, border.root, -1)::BIGINT AS label
+FROM p LEFT JOIN core ON core.a = p.point_id LEFT JOIN comp ON comp.id = p.point_id LEFT JOIN border ON border.id = p.point_id""")
 def dbscan_members(spark, sf_dir):
     p = PART.frame(spark, sf_dir)
     out = comparators.dbscan(p, 4.0, 4)
     near = comparators.core_points(p, 4.0, 4)
-    return out.join(near.withColumn("core", F.lit(True)), "point_id", "left").select("point_id", F.coalesce("core", F.lit(False)).alias("is_core"), (F.col("label") >= 0).alias("clustered"))
+    return out.join(near.withColumn("core", F.lit(True)), "point_id", "left").select("point_id", F.coalesce("core", F.lit(False)).alias("is_core"), "label")
+
+
+@query("""SELECT round(avg(sqrt(d2)), 6) AS bandwidth FROM (
+  SELECT (p.c_acctbal::DOUBLE - q.c_acctbal::DOUBLE) * (p.c_acctbal::DOUBLE - q.c_acctbal::DOUBLE) + (p.c_nationkey * 200 - q.c_nationkey * 200)::DOUBLE * (p.c_nationkey * 200 - q.c_nationkey * 200)::DOUBLE AS d2,
+    row_number() OVER (PARTITION BY p.c_custkey ORDER BY d2, q.c_custkey) AS rank
+  FROM customer p JOIN customer q ON p.c_custkey <> q.c_custkey) WHERE rank = (SELECT floor(count(*) * 0.05::DOUBLE)::BIGINT - 1 FROM customer)""")
+def bandwidth(spark, sf_dir):
+    return metrics.estimate_bandwidth(CUSTOMER.frame(spark, sf_dir), 0.05).select(F.round("bandwidth", 6).alias("bandwidth"))
 
 
 # Sources: what is written is read again
@@ -520,3 +533,8 @@ def hierarchical(spark, sf_dir):
 @query()
 def mean_shift(spark, sf_dir):
     return comparators.mean_shift(PART.frame(spark, sf_dir), 200.0)
+
+
+@query()
+def spectral(spark, sf_dir):
+    return comparators.spectral(PART.frame(spark, sf_dir), 4)
