@@ -1,9 +1,11 @@
 import math
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tilewright.operators import clique, comparators, metrics
+from tilewright.operators import clique, comparators, components, metrics
 from tilewright.operators.components import connected_components
 from tilewright.plans.estimators import SubspaceClusterer
 from tilewright.sources import generate, points, sinks
@@ -17,6 +19,55 @@ def test_components(spark):
     assert connected_components(e.where("u > 100")).count() == 0
 
 
+def test_places_by_ranges_equal_places_in_one_task(spark, monkeypatch):
+    rows = spark.range(500).select((F.col("id") * 7919 % 1000).alias("a"), (F.col("id") % 3).alias("b")).distinct()
+    want = {(r["a"], r["b"]): i + 5 for i, r in enumerate(sorted(rows.collect()))}
+    for limit in (16_384, 0):
+        monkeypatch.setattr(components, "ONE_TASK_EDGES", limit)
+        assert {(r["a"], r["b"]): r["place"] for r in components.numbered(rows, ["a", "b"], "place", 5).collect()} == want
+
+
+@pytest.mark.parametrize("limit", [16_384, 0])
+def test_components_of_structs_and_paths(spark, monkeypatch, limit):
+    monkeypatch.setattr(components, "ONE_TASK_EDGES", limit)
+    e = spark.createDataFrame([(3, 2), (2, 1), (9, 8), (7, 7), (None, 1), (2, 3)], "u long, v long")
+    assert {(r["node"], r["root"]) for r in connected_components(e).collect()} == {(1, 1), (2, 1), (3, 1), (7, 7), (8, 8), (9, 8)}
+    s = e.where("u is not null").select(F.struct(F.lit(1).alias("p"), "u").alias("u"), F.struct(F.lit(1).alias("p"), F.col("v").alias("u")).alias("v"))
+    assert {(r["node"]["u"], r["root"]["u"]) for r in connected_components(s).collect()} == {(1, 1), (2, 1), (3, 1), (7, 7), (8, 8), (9, 8)}
+
+
+def test_log_gamma_and_expectation():
+    x = np.array([0.5, 1, 2, 3.7, 10, 1e3, 1e8])
+    assert metrics.log_gamma(x) == pytest.approx([math.lgamma(v) for v in x], rel=1e-12, abs=1e-12)
+    n, a, b = 30, 12, 9
+    want = sum(math.comb(a, i) * math.comb(n - a, b - i) / math.comb(n, b) * i / n * math.log(n * i / (a * b)) for i in range(1, b + 1))
+    assert metrics.expected_information(a, b, n) == pytest.approx(want)
+
+
+def test_scores_by_dimensions(spark):
+    rng = random.Random(4)
+    rows = [(i, 0.15 + 0.01 * rng.random() + (0.5 if i % 2 else 0.0), 0.35 + 0.01 * rng.random() + (0.3 if i % 2 else 0.0)) for i in range(60)]
+    p = spark.createDataFrame(rows, "point_id long, x double, y double")
+    found = clique.run(p, ["x", "y"], 10, 0.1)
+    members = clique.cluster_points(clique.unit_vectors(p, ["x", "y"], 10), found, 2)
+    got = {r["k"]: r for r in clique.scores_by_dimensions(p.select("point_id", (F.col("point_id") % 2).alias("truth")), found, members, 2).collect()}
+    assert got[2]["ari"] == pytest.approx(1.0) and set(got) == {1, 2}
+    lines = [r["value"] for r in clique.describe(found, members, True).collect()]
+    assert sum(line.endswith(str(list(range(0, 60, 2))).replace(" ", "")) for line in lines) == 2 + 1
+
+
+def test_streamed_counts_equal_the_batch(spark, tmp_path):
+    from tilewright.operators.tiles import tile_counts
+    from tilewright.streaming.tiles import running_tile_counts
+
+    p = spark.createDataFrame([(float(i % 7), float(i % 3)) for i in range(100)], "x double, y double")
+    p.repartition(3).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(p.schema).parquet(str(tmp_path / "in"))
+    q = running_tile_counts(stream, 0).writeStream.format("memory").queryName("counts").outputMode("complete").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted(spark.table("counts").collect()) == sorted(tile_counts(p, 0).collect())
+
+
 def test_sample_deviation(spark):
     runs = spark.createDataFrame([("a", x) for x in (9.0, 2.0, 5.0, 4.0)] + [("b", 1.0)], "algorithm string, seconds double")
     got = {r["algorithm"]: r for r in metrics.speedup(metrics.bench_stats(runs, "algorithm"), "algorithm", "a").collect()}

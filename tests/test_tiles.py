@@ -49,22 +49,55 @@ def test_invalid_points(spark):
         tl.tile_counts(p, 0, "other")
 
 
-def test_neighbours_of_one_tile(spark):
-    t = tiles_of(spark, [(2, 5), (3, 5), (0, 5), (2, 4), (1, 4)])
-    got = {(r["nx"], r["ny"]) for r in nb.edges(t).where("tx = 2 and ty = 5").collect()}
-    assert got == {(3, 5), (2, 4), (1, 4)}
-    assert nb.edges(tiles_of(spark, [(2, 5)])).count() == 0
+def plain_clusters(tiles, min_size):
+    """Connected tiles, by flooding."""
+    left, out = set(tiles), []
+    while left:
+        todo = [left.pop()]
+        found = set(todo)
+        while todo:
+            x, y = todo.pop()
+            near = {(x + i, y + j) for i in (-1, 0, 1) for j in (-1, 0, 1)} & left
+            left -= near
+            found |= near
+            todo += near
+        if len(found) >= min_size:
+            out.append(sorted(found))
+    return sorted(out)
+
+
+def test_neighbours_equal_plain_python(spark):
+    rng = random.Random(9)
+    rows = sorted({(rng.randrange(-5, 5), rng.randrange(-5, 5)) for _ in range(40)})
+    got = {((r["tx"], r["ty"]), (r["nx"], r["ny"])) for r in nb.edges(tiles_of(spark, rows)).collect()}
+    assert got == {(a, b) for a in rows for b in rows if a != b and max(abs(a[0] - b[0]), abs(a[1] - b[1])) == 1}
+    assert nb.edges(tiles_of(spark, rows[:1])).count() == 0
+
+
+#: An L of three tiles that touch at corners and sides, a bar of four, and one alone.
+SHAPES = [(-3, 7), (-2, 8), (-2, 9), (10, -4), (11, -4), (12, -5), (13, -4), (30, 30)]
+
+
+def test_shapes_make_their_clusters(spark):
+    for size, clusters in ((1, 3), (2, 2), (4, 1), (5, 0)):
+        got = partition(cl.cluster_tiles(tiles_of(spark, SHAPES), size))
+        assert got == plain_clusters(SHAPES, size) and len(got) == clusters
+    assert cl.cluster_tiles(tiles_of(spark, []), 1).count() == 0
 
 
-SEVEN = [(0, 0), (-1, 0), (-1, -1), (0, -1), (5, 0), (5, 1), (5, 2)]
+def test_a_cluster_that_joins_two_borders_keeps_all_its_tiles(spark):
+    """A bar through a slab of width 2, touched from both sides, is one cluster; from one side it is too small."""
+    bar, left, right = [(4, 0), (5, 0)], [(3, 1), (2, 1)], [(6, -1), (7, -1)]
+    for tiles, size in ((bar + left + right, 6), (bar + left, 5), (bar + right, 4)):
+        for found in (slabs.clusters_slab(tiles_of(spark, tiles), 2, size), slabs.clusters_dual(tiles_of(spark, tiles), size)):
+            assert partition(found) == plain_clusters(tiles, size)
 
 
-def test_seven_tiles_make_two_clusters(spark):
-    got = partition(cl.cluster_tiles(tiles_of(spark, SEVEN), 1))
-    assert got == [sorted(SEVEN[:4]), sorted(SEVEN[4:])]
-    assert partition(cl.cluster_tiles(tiles_of(spark, SEVEN), 4)) == [sorted(SEVEN[:4])]
-    assert cl.cluster_tiles(tiles_of(spark, SEVEN), 5).count() == 0
-    assert cl.cluster_tiles(tiles_of(spark, []), 1).count() == 0
+def test_slabs_cover_all_tiles_once(spark):
+    rng = random.Random(11)
+    rows = sorted({(rng.randrange(-40, 40), rng.randrange(-3, 3)) for _ in range(150)})
+    got = slabs.split(tiles_of(spark, rows), 7).collect()
+    assert sorted((r["tx"], r["ty"]) for r in got) == rows and all(r["slab"] == r["tx"] // 7 for r in got)
 
 
 def test_slabs_equal_the_whole(spark, monkeypatch):
@@ -86,24 +119,32 @@ def test_u_shape_touches_a_border_twice(spark):
 
 
 def test_labels_are_ranked_by_their_smallest_tile(spark):
-    got = cl.cluster_tiles(tiles_of(spark, SEVEN), 1).groupBy("label").agg(F.min(F.struct("tx", "ty")).alias("m")).orderBy("label").collect()
-    assert [(r["label"], tuple(r["m"])) for r in got] == [(0, (-1, -1)), (1, (5, 0))]
-
-
-@pytest.mark.parametrize(("precision", "tiles", "significant", "in_clusters", "labelled"), [(3, 5, 4, 4, 499), (3.5, 26, 10, 10, 468), (4, 99, 18, 18, 350), (5, 399, 5, 5, 54)])
-def test_points_of_one_group(spark, resources, precision, tiles, significant, in_clusters, labelled):
-    p = src.check_size(src.read_csv(spark, str(resources / "points_500.csv")), 1)
-    assert tl.tile_counts(p, precision).count() == tiles
-    assert tl.significant_tiles(p, precision, 5).count() == significant
-    model = TileClusterer(precision, 5, 4).fit(p)
-    assert model.labels.count() == in_clusters
+    got = cl.cluster_tiles(tiles_of(spark, SHAPES), 2).groupBy("label").agg(F.min(F.struct("tx", "ty")).alias("m")).orderBy("label").collect()
+    assert [(r["label"], tuple(r["m"])) for r in got] == [(0, (-3, 7)), (1, (10, -4))]
+
+
+@pytest.mark.parametrize("precision", [3, 3.5, 4, 5])
+@pytest.mark.parametrize("min_size", [4, 5])
+def test_points_of_one_group(spark, resources, precision, min_size):
+    from collections import Counter
+
+    rows = [tuple(map(float, line.split(","))) for line in (resources / "one_group.csv").read_text().split()]
+    tile = lambda r: tuple(math.trunc(v * scale_factor(precision)) for v in r)
+    counts = Counter(map(tile, rows))
+    want = plain_clusters([t for t, n in counts.items() if n >= 5], min_size)
+    inside = {t for c in want for t in c}
+    p = src.check_size(src.read_csv(spark, str(resources / "one_group.csv")), 1)
+    assert tl.tile_counts(p, precision).count() == len(counts)
+    assert tl.significant_tiles(p, precision, 5).count() == sum(n >= 5 for n in counts.values())
+    model = TileClusterer(precision, 5, min_size).fit(p)
+    assert model.labels.count() == len(inside) and partition(model.labels.select("label", "tx", "ty")) == want
     got = model.transform(p)
-    assert got.count() == 500 and got.where("label = 0").count() == labelled
-    assert cl.cluster_points(p, precision, 5, 4).count() == labelled
+    assert got.count() == 500 and got.where("label >= 0").count() == sum(tile(r) in inside for r in rows)
+    assert cl.cluster_points(p, precision, 5, min_size).count() == sum(tile(r) in inside for r in rows)
 
 
 def test_order_and_copies_do_not_matter(spark, resources):
-    p = src.read_csv(spark, str(resources / "points_500.csv"))
+    p = src.read_csv(spark, str(resources / "one_group.csv"))
     one = partition(cl.clusters(p, 4, 5, 4))
     assert partition(cl.clusters(p.orderBy(F.rand(5)).repartition(7), 4, 5, 4)) == one
     swapped = cl.clusters(p.select(F.col("y").alias("x"), F.col("x").alias("y")), 4, 5, 4)

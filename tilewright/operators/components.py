@@ -73,9 +73,12 @@ def connected_components(edges: DataFrame, src: str = "u", dst: str = "v", max_r
 def numbered(rows: DataFrame, order: list[str], name: str, start: int = 0) -> DataFrame:
     """``rows``, distinct in ``order``, with their place in that order from ``start`` on as ``name``.
 
-    Rows go to ranges; a row's place is that in its range after the sizes of the ranges before, so no task holds
+    A few thousand rows, counted first, are numbered in one task. More go to ranges; a row's place is that in its range after the sizes of the ranges before, so no task holds
     them all. Only the sizes are summed in one task.
     """
+    rows = materialize(rows, "rows")
+    if rows.count() <= ONE_TASK_EDGES:
+        return rows.withColumn(name, (F.row_number().over(Window.orderBy(*order)) + F.lit(start - 1)).cast("long"))
     dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     placed = materialize(dealt.withColumn("__at", F.monotonically_increasing_id()), "placed")  # range << 33 | place
     placed = placed.withColumn("__range", F.shiftright("__at", 33))

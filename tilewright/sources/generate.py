@@ -23,8 +23,11 @@ def _around(centres: DataFrame, spread: float, seed: int) -> DataFrame:
 def grouped(spark: SparkSession, groups: int, seed: int = 0, spread: float = SPREAD) -> DataFrame:
     """``(x, y, group)``: groups of 500 around random centres that are far enough from each other on both axes.
 
-    The centres are drawn by the driver, one after another, since each depends on those before it.
+    The centres are drawn by the driver, one after another, since each depends on those before it. An axis has room
+    for so many only; for more than half of it use :func:`on_grid`.
     """
+    if groups > 90 / LEAST_GAP:
+        raise ValueError(f"no room for {groups} groups, {90 / LEAST_GAP:.0f} at most")
     rng = random.Random(seed)
     cells: dict[tuple[str, int], list[float]] = {}
 
