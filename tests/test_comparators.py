@@ -1,10 +1,66 @@
+import math
+import random
+
 import pytest
 
 from tilewright.operators import comparators
 
 
+def frame(spark, rows):
+    return spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(rows)], "point_id long, x double, y double")
+
+
+def plain_dbscan(rows, eps, least):
+    near = [[j for j, q in enumerate(rows) if (p[0] - q[0]) ** 2 + (p[1] - q[1]) ** 2 <= eps * eps] for p in rows]
+    core = {i for i, n in enumerate(near) if len(n) >= least}
+    label = {}
+    for i in sorted(core):
+        todo = [] if i in label else [i]
+        while todo:
+            k = todo.pop()
+            if k not in label:
+                label[k] = i
+                todo += [j for j in near[k] if j in core]
+    return [label.get(i, min((label[j] for j in near[i] if j in core), default=-1)) for i in range(len(rows))]
+
+
 def test_mean_shift_does_not_end_on_moving_seeds(spark):
-    points = spark.createDataFrame([(i, i * 0.1 + (i / 20) ** 2, 0.0) for i in range(40)], "point_id long, x double, y double")
+    points = spark.createDataFrame([(i, i * 0.1 + (i / 20) ** 2, 0.0) for i in range(15)], "point_id long, x double, y double")
     with pytest.raises(RuntimeError):
-        comparators.mean_shift(points, 1.0, rounds=1)
-    assert comparators.mean_shift(points, 1.0).count() == 40
+        comparators.mean_shift(points, 0.6, rounds=1)
+    assert comparators.mean_shift(points, 0.6).count() == 15
+
+
+def test_kept_modes_equal_one_after_another(spark):
+    rng = random.Random(2)
+    rows = [(rng.uniform(-6, 6), rng.uniform(-3, 3), rng.randrange(1, 9)) for _ in range(120)]
+    kept = []
+    for x, y, n in sorted(rows, key=lambda r: (-r[2], r[0], r[1])):
+        if all((x - a) ** 2 + (y - b) ** 2 > 1 for a, b, _ in kept):
+            kept.append((x, y, n))
+    got = comparators._fullest(spark.createDataFrame(rows, "mx double, my double, n long"), 1.0).collect()
+    assert sorted(map(tuple, got)) == sorted(kept)
+
+
+@pytest.mark.parametrize(("few", "eps", "least"), [(4096, 1.0, 5), (2, 1.0, 5), (64, 0.45, 4)])
+def test_density_clusters_equal_plain_python(spark, monkeypatch, few, eps, least):
+    """Full cells that touch, that only face each other, and that hold many copies of a point; sparse ones between."""
+    monkeypatch.setattr(comparators, "FEW_PAIRS", few)
+    rng = random.Random(8)
+    rows = [(rng.uniform(0, 6), rng.uniform(0, 6)) for _ in range(110)]
+    rows += [(rng.gauss(10, 0.2), rng.gauss(1, 0.2)) for _ in range(90)] + [(11.5, 1.0)] * 30 + [(12.5, 1.0)] * 30 + [(13.5001, 1.0)] * 30
+    rows += [(20 + math.cos(t / 9), math.sin(t / 9)) for t in range(57)] + [(-30.0, 4.0), (-30.5, 4.0)]
+    got = {r["point_id"]: r["label"] for r in comparators.dbscan(frame(spark, rows), eps, least).collect()}
+    assert [got[i] for i in range(len(rows))] == plain_dbscan(rows, eps, least)
+
+
+def test_density_clusters_of_no_points(spark):
+    assert comparators.dbscan(frame(spark, []), 1.0, 3).count() == 0
+    assert {r["label"] for r in comparators.dbscan(frame(spark, [(0, 0), (0, 0)]), 1.0, 3).collect()} == {-1}
+
+
+def test_birch_labels_groups(spark):
+    rng = random.Random(6)
+    rows = [(c * 10 + rng.gauss(0, 0.3), rng.gauss(0, 0.3)) for c in range(3) for _ in range(40)]
+    got = {r["point_id"]: r["label"] for r in comparators.birch(frame(spark, rows), 3).collect()}
+    assert [len({got[c * 40 + i] for i in range(40)}) for c in range(3)] == [1, 1, 1] and len(set(got.values())) == 3

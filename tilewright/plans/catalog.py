@@ -530,6 +530,11 @@ def hierarchical(spark, sf_dir):
     return comparators.hierarchical(PART.frame(spark, sf_dir), 8)
 
 
+@query()
+def birch(spark, sf_dir):
+    return comparators.birch(PART.frame(spark, sf_dir), 8, 20.0)
+
+
 @query()
 def mean_shift(spark, sf_dir):
     return comparators.mean_shift(PART.frame(spark, sf_dir), 200.0)
