@@ -1,4 +1,4 @@
-"""``python -m tilewright tiles|subspace``, for spark-submit too."""
+"""``python -m tilewright tiles|subspace|compare|compare-subspace|bench``, for spark-submit too."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tilewright.operators import clique, metrics
 from tilewright.operators import clusters as cl
+from tilewright.plans import harness
 from tilewright.sources import points, sinks
 
 
@@ -33,6 +34,29 @@ def main(args: list[str] | None = None) -> None:
     sub.add_argument("--sep", default=" ")
     sub.add_argument("--raw", action="store_true", help="do not normalise")
     sub.add_argument("--ids", action="store_true", help="write the ids of each cluster's points")
+    compare = commands.add_parser("compare", help="time clusterings of groups of 500 points, and score them")
+    compare.add_argument("power", type=int, choices=range(1, 6), help="10 to this power is the number of groups")
+    compare.add_argument("--all", action="store_true", help="DBSCAN, k-means, BIRCH and mixture too")
+    levels = commands.add_parser("compare-subspace", help="time subspace clusterings, and score them")
+    levels.add_argument("groups", type=int, choices=(1, 10, 100, 1000))
+    levels.add_argument("-x", "--intervals", type=int, nargs="+", default=[20])
+    levels.add_argument("--no-tiles", action="store_true")
+    for p in (compare, levels):
+        p.add_argument("-r", "--repeats", type=int, default=1)
+        p.add_argument("-m", "--metrics", action="store_true", help="ratio of clusters found, silhouette")
+    bench = commands.add_parser("bench", help="time projection and clustering of tiles; one record for each case")
+    bench.add_argument("-p", "--precision", type=float, nargs="+", default=[3.5])
+    bench.add_argument("-t", "--threshold", type=int, default=5)
+    bench.add_argument("-m", "--min-size", type=int, default=4)
+    bench.add_argument("-i", "--iterations", type=int, default=5)
+    bench.add_argument("-n", "--groups", type=int, nargs="+", default=[1000])
+    bench.add_argument("--cores", type=int, nargs="+", default=[None])
+    bench.add_argument("--prime", action="store_true", help="clusters with their points")
+    bench.add_argument("--par", action="store_true", help="clusters by slabs, one a core")
+    bench.add_argument("--bench", action="store_true", help="all sizes, precisions and cores of the full bench")
+    for p in (compare, levels, bench):
+        p.add_argument("output")
+        p.add_argument("--data", help="point file; {} in its name is the number of groups; else points are generated")
     a = parser.parse_args(args)
     spark = SparkSession.builder.appName("tilewright").getOrCreate()
     if a.command == "tiles":
@@ -46,6 +70,19 @@ def main(args: list[str] | None = None) -> None:
         else:
             sinks.write_clusters(found, a.output, a.precision)
         return
+    if a.command == "compare":
+        held = harness.points_of(spark, 10**a.power, a.data)
+        sinks.write_results(harness.results(spark, harness.compare(held, 10**a.power, a.repeats, a.metrics, a.all)), a.output)
+        return
+    if a.command == "compare-subspace":
+        held = harness.points_of(spark, a.groups, a.data)
+        records = harness.compare_subspace(held, a.groups, a.intervals, a.repeats, a.metrics, not a.no_tiles)
+        sinks.write_results(harness.results(spark, records), a.output)
+        return
+    if a.command == "bench":
+        full = (harness.PARTED if a.par else harness.WHOLE) if a.bench else {"groups": a.groups, "precisions": a.precision, "cores": a.cores}
+        harness.bench(spark, a.output, **full, data=a.data, threshold=a.threshold, min_size=a.min_size, repeats=a.iterations, prime=a.prime, parted=a.par)
+        return
     data = points.with_point_id(points.read_features(spark, a.input, a.columns, a.label, a.sep))
     names = [f"f{k}" for k in range(len(a.columns))]
     data = data if a.raw else metrics.normalize_minmax(data, names)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilewright.functions.tiles import descaled, scale_factor
@@ -37,3 +37,9 @@ def append_record(record: DataFrame, path: str) -> None:
 
 def write_results(results: DataFrame, path: str) -> None:
     results.write.mode("overwrite").json(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete ``path``, a file or a folder, if it is there."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
