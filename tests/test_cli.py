@@ -58,3 +58,12 @@ def test_bench_records(spark, tmp_path, resources):
         rows = spark.read.option("sep", ";").option("header", True).csv(str(tmp_path / f"{name}_precision3.5_threshold5_min_size4")).collect()
         assert sorted(r["#cores"] for r in rows) == ["1", "2"] and {r["#clusters identified [ratio]"] for r in rows} == {"1.0"}
         assert all(len(json.loads(r["times clustering [s]"])) == 2 for r in rows)
+
+
+def test_a_clustering_without_fixpoint_leaves_the_others(spark):
+    def none():
+        raise RuntimeError("no fixpoint")
+
+    got = harness._report({"a": none, "b": lambda: spark.createDataFrame([(0, 0.0, 0.0, 0)], "point_id long, x double, y double, label long")}, 1, 1, False)
+    rows = {r["algorithm"]: r for r in harness.results(spark, got).collect()}
+    assert rows["a"]["error"] == "no fixpoint" and rows["a"]["mean"] is None and rows["b"]["error"] is None and len(rows["b"]["timings"]) == 1

@@ -64,3 +64,34 @@ def test_birch_labels_groups(spark):
     rows = [(c * 10 + rng.gauss(0, 0.3), rng.gauss(0, 0.3)) for c in range(3) for _ in range(40)]
     got = {r["point_id"]: r["label"] for r in comparators.birch(frame(spark, rows), 3).collect()}
     assert [len({got[c * 40 + i] for i in range(40)}) for c in range(3)] == [1, 1, 1] and len(set(got.values())) == 3
+
+
+def plain_affinity(rows, k, preference, damping, rounds):
+    """Messages on the k-NN graph, in plain loops."""
+    s = {}
+    for i, p in enumerate(rows):
+        near = sorted((math.dist(p, q) ** 2, j) for j, q in enumerate(rows) if j != i)[:k]
+        s |= {(i, j): -d for d, j in near} | {(i, i): preference}
+    a, r = dict.fromkeys(s, 0.0), dict.fromkeys(s, 0.0)
+    out = {i: [j for x, j in s if x == i] for i in range(len(rows))}
+    into = {j: [i for i, x in s if x == j] for j in range(len(rows))}
+    for _ in range(rounds):
+        for i, js in out.items():
+            new = {j: s[i, j] - max(a[i, x] + s[i, x] for x in js if x != j) for j in js}
+            for j in js:
+                r[i, j] = damping * r[i, j] + (1 - damping) * new[j]
+        for j, ones in into.items():
+            total = sum(max(0, r[i, j]) for i in ones if i != j)
+            for i in ones:
+                new = total if i == j else min(0, r[j, j] + total - max(0, r[i, j]))
+                a[i, j] = damping * a[i, j] + (1 - damping) * new
+    stars = {j for j in out if a[j, j] + r[j, j] > 0}
+    return [i if i in stars else max(((s[i, j], -j, j) for j in out[i] if j in stars), default=(0, 0, -1))[2] for i in out]
+
+
+def test_affinity_equals_plain_python(spark):
+    rng = random.Random(12)
+    rows = [(c * 5 + rng.gauss(0, 0.5), rng.gauss(0, 0.5)) for c in range(3) for _ in range(20)]
+    got = {r["point_id"]: r["label"] for r in comparators.affinity_propagation(frame(spark, rows), 12, -6.0, 0.5, 3).collect()}
+    assert [got[i] for i in range(60)] == plain_affinity(rows, 12, -6.0, 0.5, 120)
+    assert 3 <= len(set(got.values())) < 12

@@ -119,6 +119,44 @@ def test_subspace_clusters(spark):
     assert clique.describe(found, members).count() == found.select("cluster_id").distinct().count()
 
 
+def test_candidates_with_a_face_that_is_not_dense_go(spark):
+    """(0, 1, 2) in units (5, 5, 5) joins two dense faces, but (1, 2) in (5, 5) is not dense."""
+    rows = [([0, 1], [5, 5]), ([0, 2], [5, 5]), ([0, 1], [7, 8]), ([0, 2], [7, 9]), ([1, 2], [8, 9]), ([1, 2], [8, 5])]
+    dense = spark.createDataFrame(rows, "dims array<int>, units array<int>")
+    found = clique.candidates(dense, 3)
+    assert sorted(tuple(r["units"]) for r in found.collect()) == [(5, 5, 5), (7, 8, 9)]
+    assert [(r["dims"], r["units"]) for r in clique.pruned(found, dense, 3).collect()] == [([0, 1, 2], [7, 8, 9])]
+
+
+def test_subspaces_equal_plain_python(spark):
+    from itertools import combinations
+
+    rng = random.Random(21)
+    rows = [tuple(min(0.999, max(0.0, rng.gauss(c, 0.12))) for c in rng.choice(((0.2, 0.3, 0.7), (0.7, 0.8, 0.3)))) for _ in range(300)]
+    units, tau, want = [tuple(int(v * 6) for v in r) for r in rows], 0.03, set()
+    for k in (1, 2, 3):
+        for dims in combinations(range(3), k):
+            counts = {}
+            for u in units:
+                key = tuple(u[d] for d in dims)
+                counts[key] = counts.get(key, 0) + 1
+            left = {u for u, n in counts.items() if n > tau * len(rows)}
+            while left:
+                todo = [left.pop()]
+                one = set(todo)
+                while todo:
+                    at = todo.pop()
+                    near = {u for u in left if sum(abs(a - b) for a, b in zip(at, u)) == 1}
+                    left, one, todo = left - near, one | near, todo + list(near)
+                want.add((dims, tuple(sorted(one))))
+    p = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "point_id long, x double, y double, z double")
+    got = {}
+    for r in clique.run(p, ["x", "y", "z"], 6, tau).collect():
+        got.setdefault((r["cluster_id"], tuple(r["dims"])), []).append(tuple(r["units"]))
+    assert {(dims, tuple(sorted(u))) for (_, dims), u in got.items()} == want and len(got) == len(want)
+    assert [len(dims) for _, dims in sorted(got)] == sorted(len(d) for d, _ in want)
+
+
 def test_units_count_modulo_one(spark):
     p = spark.createDataFrame([(0, 1.25, -0.05)], "point_id long, x double, y double")
     assert clique.unit_vectors(p, ["x", "y"], 20).first()["u"] == [5, 19]
@@ -142,6 +180,11 @@ def test_generators(spark):
         assert generate.toy(spark, kind, 30).where("x is not null and y is not null").count() == 30
     with pytest.raises(ValueError):
         generate.toy(spark, "other")
+    radius = {r["truth"]: r["r"] for r in generate.toy(spark, "circles", 400).groupBy("truth").agg(F.avg(F.hypot("x", "y")).alias("r")).collect()}
+    assert radius[0] == pytest.approx(1.0, abs=0.05) and radius[1] == pytest.approx(0.5, abs=0.05)
+    sd = {r["truth"]: r["s"] for r in generate.toy(spark, "varied", 1500).groupBy("truth").agg(F.stddev("x").alias("s")).collect()}
+    assert [round(sd[t], 1) for t in range(3)] == pytest.approx([1.0, 2.5, 0.5], abs=0.2)
+    assert generate.toy(spark, "uniform", 200).where("x between 0 and 1 and y between 0 and 1 and truth is null").count() == 200
 
 
 def test_round_trips(spark, tmp_path):

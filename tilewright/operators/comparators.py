@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans, PowerIterationClustering
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilewright.operators.components import connected_components, numbered
 from tilewright.operators.metrics import connectivity, knn
-from tilewright.storage import materialize
+from tilewright.storage import discard, materialize
 
 
 def _fitted(model, points: DataFrame) -> DataFrame:
@@ -37,6 +37,52 @@ def spectral(points: DataFrame, k: int, neighbors: int = 10) -> DataFrame:
     return points.join(found.select(F.col("id").alias("point_id"), F.col("cluster").cast("long").alias("label")), "point_id", "left")
 
 
+#: Rounds of messages between two tables; longer plans cost more than the tables save.
+ROUNDS_A_TABLE = 3
+
+
+def affinity_propagation(points: DataFrame, neighbors: int = 10, preference: float | None = None, damping: float = 0.5, stable: int = 5, rounds: int = 200) -> DataFrame:
+    """``points`` with ``label``, the id of the exemplar, -1 for a point none of whose neighbours is one.
+
+    Messages go along the edges of the k-NN graph, from a point to those it may choose, and not between all pairs; the
+    similarity is the squared distance below zero, that to oneself the ``preference``, by default the median of all. A round
+    is a window over a point's few edges and a sum by exemplar. It ends when the exemplars have stayed the same for
+    ``stable`` checks, ROUNDS_A_TABLE rounds apart. Messages that still swing after ``rounds`` rounds, as ties make them, are
+    an error; more ``damping`` calms them.
+    """
+    near = materialize(knn(points, neighbors).select(F.col("point_id").alias("i"), F.col("neighbor_id").alias("k"), (-F.col("distance") ** 2).alias("s")), "near")
+    own = preference if preference is not None else near.agg(F.median("s")).first()[0]
+    loops = points.select(F.col("point_id").alias("i"), F.col("point_id").alias("k"), F.lit(float(own or 0.0)).alias("s"))
+    now = near.unionByName(loops).withColumns({"a": F.lit(0.0), "r": F.lit(0.0)})
+    kept = lambda old, new: F.lit(damping) * F.col(old) + F.lit(1 - damping) * new
+    mine = Window.partitionBy("i")
+    state, same, before = None, 0, None
+    for _ in range(0, rounds, ROUNDS_A_TABLE):
+        for _ in range(ROUNDS_A_TABLE):
+            t = now.withColumn("t", F.col("a") + F.col("s")).withColumn("place", F.row_number().over(mine.orderBy(F.desc("t"), "k")))
+            first, second = (F.max(F.when(F.col("place") == n, F.col("t"))).over(mine) for n in (1, 2))
+            rival = F.coalesce(F.when(F.col("place") == 1, second).otherwise(first), F.lit(0.0))
+            sent = t.withColumn("rival", rival).select("i", "k", "s", "a", kept("r", F.col("s") - F.col("rival")).alias("r"))
+            loop = F.col("i") == F.col("k")
+            heard = sent.groupBy("k").agg(F.sum(F.when(~loop, F.greatest("r", F.lit(0.0))).otherwise(0.0)).alias("others"), F.max(F.when(loop, F.col("r"))).alias("itself"))
+            answer = F.when(loop, F.col("others")).otherwise(F.least(F.lit(0.0), F.col("itself") + F.col("others") - F.greatest("r", F.lit(0.0))))
+            now = sent.join(heard, "k").select("i", "k", "s", kept("a", answer).alias("a"), "r")
+        now = materialize(now, "messages")
+        discard(before)
+        before = now
+        exemplars = now.where("i = k and a + r > 0").select("k")
+        last, state = state, tuple(exemplars.agg(F.count("*"), F.bit_xor(F.xxhash64("k")), F.sum(F.xxhash64("k").bitwiseAND(F.lit(0xFFFFFFFF)))).first())
+        same = same + 1 if state == last and state[0] else 0
+        if same >= stable:
+            break
+    else:
+        if points.isEmpty():
+            return points.withColumn("label", F.lit(-1).cast("long"))
+        raise RuntimeError(f"exemplars still change after {rounds} rounds")
+    chosen = now.join(exemplars, "k").groupBy("i").agg(F.max(F.struct(F.col("i") == F.col("k"), "s", -F.col("k"), F.col("k").alias("label"))).alias("m"))
+    return points.join(chosen.select(F.col("i").alias("point_id"), "m.label"), "point_id", "left").select(*points.columns, F.coalesce("label", F.lit(-1)).cast("long").alias("label"))
+
+
 def birch(points: DataFrame, k: int, threshold: float = 0.5) -> DataFrame:
     """Points summed up (count and sums) by cells of side ``threshold``, their means by weighted k-means: the leaves are
     those of a grid, not of a tree, so they do not depend on the points' order. A point has the label of its cell."""

@@ -67,7 +67,11 @@ def _report(algorithms: dict[str, Callable[[], DataFrame]], groups: int, repeats
         raise ValueError("at least one run")
     out = {}
     for name, run in algorithms.items():
-        times, labelled = timed(run, repeats)
+        try:
+            times, labelled = timed(run, repeats)
+        except RuntimeError as e:  # a comparator that finds no fixpoint; the others go on
+            out[name] = {"error": str(e)}
+            continue
         out[name] = {"mean": statistics.mean(times), "stdev": deviation(times), "timings": times}
         if with_metrics:
             out[name]["ratio"] = metrics.cluster_ratio(labelled, groups).first()[0]
@@ -95,6 +99,7 @@ def compare(data: DataFrame, groups: int, repeats: int = 1, with_metrics: bool =
         found["hierarchical"] = lambda: comparators.hierarchical(data, groups)
     if groups < MOST_FOR_GRAPHS:
         found["spectral"] = lambda: comparators.spectral(data, groups).fillna(-1, ["label"])
+        found["affinity propagation"] = lambda: comparators.affinity_propagation(data, preference=-0.0001, damping=0.9)
     return _report(found, groups, repeats, with_metrics)
 
 
@@ -109,9 +114,10 @@ def compare_subspace(data: DataFrame, groups: int, intervals: list[int], repeats
 
 
 def results(spark: SparkSession, records: dict[str, dict]) -> DataFrame:
-    """``(algorithm, mean, stdev, timings, ratio, silhouette)``, null where no metrics were asked for."""
-    rows = [(name, r["mean"], r["stdev"], r["timings"], r.get("ratio"), r.get("silhouette")) for name, r in records.items()]
-    return spark.createDataFrame(rows, "algorithm string, mean double, stdev double, timings array<double>, ratio double, silhouette double")
+    """``(algorithm, mean, stdev, timings, ratio, silhouette, error)``, null where no metrics were asked for, and all but the
+    error where a clustering found no fixpoint."""
+    rows = [(name, *[r.get(c) for c in ("mean", "stdev", "timings", "ratio", "silhouette", "error")]) for name, r in records.items()]
+    return spark.createDataFrame(rows, "algorithm string, mean double, stdev double, timings array<double>, ratio double, silhouette double, error string")
 
 
 def bench_tiles(data: DataFrame, groups: int, precision: float, threshold: int = 5, min_size: int = 4, cores: int | None = None, repeats: int = 5, prime: bool = False, parted: bool = False) -> DataFrame:
