@@ -218,19 +218,22 @@ def _path_features(node: Node | None) -> list[str]:
     return sorted({x for n in node.path() for x in _around(n)} | {*_innermost(node)}) if node else []
 
 
-def _text_features(text: str, linked: int, k: int, n: int) -> list[str]:
-    size, words = len(text), text.count(" ") + 1
-    share = linked / size
-    return [
-        "bias",
-        f"words:{min(words, 128).bit_length()}",
-        f"links:{0 if share == 0 else 1 if share < 0.3 else 2 if share < 0.8 else 3}",
-        f"stop:{text[-1] in '.!?…:\"”»'}",
-        f"sentences:{sum(1 for _ in islice(_SENTENCE.finditer(text), 3))}",
-        f"mark:{'©' in text or '|' in text or '»' in text}",
-        f"upper:{text[:1].isupper()}",
-        f"edge:{'first' if k == 0 else 'last' if k == n - 1 else 'mid'}",
-    ]
+def _text_kind(text: str, linked: int, k: int, n: int) -> tuple:
+    """What the field sees of a block's text and place; there are a few thousand kinds at most."""
+    share = linked / len(text)
+    return (
+        min(text.count(" ") + 1, 128).bit_length(),
+        0 if share == 0 else 1 if share < 0.3 else 2 if share < 0.8 else 3,
+        text[-1] in ".!?…:\"”»",
+        sum(1 for _ in islice(_SENTENCE.finditer(text), 3)),
+        "©" in text or "|" in text or "»" in text,
+        text[:1].isupper(),
+        "first" if k == 0 else "last" if k == n - 1 else "mid",
+    )
+
+
+def _kind_features(kind: tuple) -> list[str]:
+    return ["bias", *(f"{name}:{value}" for name, value in zip(("words", "links", "stop", "sentences", "mark", "upper", "edge"), kind))]
 
 
 class BlockField:
@@ -246,7 +249,7 @@ class BlockField:
     def _ids(self, sequence: list[Block], grow: bool = False) -> list[list[int]]:
         out = []
         for k, (text, node, linked) in enumerate(sequence):
-            names = _path_features(node) + _text_features(text, linked, k, len(sequence))
+            names = _path_features(node) + _kind_features(_text_kind(text, linked, k, len(sequence)))
             if grow:
                 out.append([self.index.setdefault(x, len(self.index)) for x in names])
             else:
@@ -282,11 +285,15 @@ class BlockField:
         """Label scores of each block."""
         if len(self._memo) > 20_000:
             self._memo.clear()
-        out = np.zeros((len(sequence), 2))
-        index, weight = self.index, self.weight
+        index, weight, n = self.index, self.weight, len(sequence)
+        kinds: dict[tuple, int] = {}
+        kind_of, around = np.zeros(n, np.int64), np.zeros((n, 2))
         for k, (text, node, linked) in enumerate(sequence):
-            out[k] = self._of_node(node) + weight[[index[x] for x in _text_features(text, linked, k, len(sequence)) if x in index]].sum(axis=0)
-        return out
+            kind_of[k] = kinds.setdefault(_text_kind(text, linked, k, n), len(kinds))
+            if node is not None:
+                around[k] = self._of_node(node)
+        own = np.array([weight[[index[x] for x in _kind_features(kind) if x in index]].sum(axis=0) for kind in kinds]).reshape(-1, 2)
+        return around + own[kind_of]
 
     def viterbi(self, scores: np.ndarray) -> list[int]:
         (a00, a01), (a10, a11) = self.step.tolist()
