@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from tilewright.operators import boxes, metrics
+from tilewright.operators import boxes, comparators, metrics, power
 
 POINTS = "point_id long, x double, y double"
 
@@ -85,3 +85,35 @@ def test_copies_of_a_place_are_not_paired(spark):
     got = metrics.knn(p, 5)
     assert "cogroup" not in got._jdf.queryExecution().toString().lower()
     assert got.where("neighbor_id > 5 or neighbor_id = point_id or distance > 0").count() == 0 and got.count() == 150_000
+
+
+@pytest.mark.parametrize(("size", "few"), [(40, 2_000_000), (40, 0), (32_768, 2_000_000)])
+def test_power_iteration_equals_matrix(spark, monkeypatch, size, few):
+    """By blocks, sent by broadcast or by a shuffle, the vector is that of the whole matrix."""
+    monkeypatch.setattr(power, "BLOCK", size)
+    monkeypatch.setattr(power, "BLOCK_ROOTS", 0)
+    monkeypatch.setattr(power, "BROADCAST_NUMBERS", few)
+    rows = some(6, 60)
+    p = spark.createDataFrame([*rows, (-1, None, 0.0)], POINTS)
+    got = [{r["point_id"]: r["v"] for r in power.embedded(p, 6, rounds).collect()} for rounds in (0, 4)]
+    assert len(got[0]) == len(rows) and sum(map(abs, got[0].values())) == pytest.approx(1)
+    ids = sorted(got[0])
+    place, near = {i: at for at, i in enumerate(ids)}, plain(rows)
+    w = np.zeros((len(ids), len(ids)))
+    for i in ids:
+        for _, j in near[i][:6]:
+            w[place[i], place[j]] += 0.5
+            w[place[j], place[i]] += 0.5
+    v = np.array([got[0][i] for i in ids])
+    for _ in range(4):
+        v = (w / w.sum(axis=1, keepdims=True)) @ v
+        v = v / np.abs(v).sum()
+    assert [got[1][i] for i in ids] == pytest.approx(v.tolist(), rel=1e-9)
+
+
+def test_spectral_labels(spark):
+    rng = random.Random(9)
+    rows = [(100 * (i % 3) + i, 50.0 * (i % 3) + rng.gauss(0, 1), rng.gauss(0, 1)) for i in range(150)]
+    got = {r["point_id"]: r["label"] for r in comparators.spectral(spark.createDataFrame([*rows, (-1, None, 0.0)], POINTS), 3, 5).collect()}
+    assert len(got) == 151 and got[-1] is None and {got[r[0]] for r in rows} == {0, 1, 2}
+    assert comparators.spectral(spark.createDataFrame(rows[:1], POINTS), 3).first()["label"] is None

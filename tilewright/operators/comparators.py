@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans, PowerIterationClustering
+from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tilewright.operators import power
 from tilewright.operators.components import connected_components, numbered
-from tilewright.operators.metrics import connectivity, knn
+from tilewright.operators.metrics import knn
 from tilewright.storage import discard, materialize
 
 
@@ -31,10 +32,13 @@ def gaussian_mixture(points: DataFrame, k: int, seed: int = 0) -> DataFrame:
 
 
 def spectral(points: DataFrame, k: int, neighbors: int = 10) -> DataFrame:
-    """Power iteration on the k-NN graph."""
-    graph = connectivity(knn(points, neighbors)).where("a < b").select(F.col("a").alias("src"), F.col("b").alias("dst"), "weight")
-    found = PowerIterationClustering(k=k, weightCol="weight").assignClusters(graph)
-    return points.join(found.select(F.col("id").alias("point_id"), F.col("cluster").cast("long").alias("label")), "point_id", "left")
+    """Power iteration on the k-NN graph, and k-means of its vector; null for points without neighbours."""
+    vector = materialize(power.embedded(points, neighbors), "vector")
+    if vector.isEmpty():
+        return points.withColumn("label", F.lit(None).cast("long"))
+    data = VectorAssembler(inputCols=["v"], outputCol="features").transform(vector)
+    found = KMeans(k=k, seed=0).fit(data).transform(data).select("point_id", F.col("prediction").cast("long").alias("label"))
+    return points.join(found, "point_id", "left")
 
 
 #: Rounds of messages between two tables; longer plans cost more than the tables save.
